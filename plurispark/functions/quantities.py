@@ -37,35 +37,34 @@ def whole_bytes(amount: Column, unit: Column) -> Column:
     return F.when(exact, F.try_divide(scaled, shift).try_cast(_BYTES))
 
 
-def _factor(letter: Column, base: Column) -> Column:
-    """``base ** exponent`` of a size letter, as exact decimals."""
-    step = F.instr(F.lit("kmgtpe"), F.lower(letter))
-    power = F.when(letter == "", _big(1))
-    for exponent in range(1, 7):
-        power = power.when(
-            step == exponent, F.when(base == 1024, _big(1024**exponent)).otherwise(_big(1000**exponent))
-        )
-    return power
+def _lookup(factors: dict[str, int], unit: Column) -> Column:
+    table = F.create_map(*[x for name, n in factors.items() for x in (F.lit(name), _big(n))])
+    return F.try_element_at(table, unit)
+
+
+#: Size letters by rising exponent.
+_LETTERS = "kmgtpe"
+_RECIPE_UNITS = {"b": 1}
+_OFFER_UNITS = {"": GIB, "b": 1}
+for _power, _letter in enumerate(_LETTERS, 1):
+    for _suffix, _base in (("", 1000), ("b", 1000), ("i", 1024), ("ib", 1024)):
+        _RECIPE_UNITS[_letter + _suffix] = _base**_power
+    for _suffix in ("b", "ib"):
+        _OFFER_UNITS[_letter + _suffix] = 1024**_power
 
 
 def recipe_memory_bytes(c: Column) -> Column:
     """Recipe grammar: a unit is required; ``i`` units are binary, others decimal."""
     pattern = r"^([0-9]+(?:\.[0-9]+)?)[ \t\n\r\f\x0b]*([KMGTPE]i?B?|kB?|B)\z"
-    unit = F.regexp_extract(c, pattern, 2)
-    letter = F.when(unit == "B", F.lit("")).otherwise(F.substring(unit, 1, 1))
-    base = F.when(F.contains(unit, F.lit("i")), F.lit(1024)).otherwise(F.lit(1000))
-    return F.when(unit != "", whole_bytes(F.regexp_extract(c, pattern, 1), _factor(letter, base)))
+    unit = F.lower(F.regexp_extract(c, pattern, 2))
+    return whole_bytes(F.regexp_extract(c, pattern, 1), _lookup(_RECIPE_UNITS, unit))
 
 
 def offer_memory_bytes(c: Column) -> Column:
     """Offer grammar: bare numbers are GiB and every unit is binary, in any case."""
     pattern = r"(?i)^([0-9]+(?:\.[0-9]+)?)([KMGTPE]I?B|B)?\z"
-    amount = F.regexp_extract(c, pattern, 1)
-    unit = F.upper(F.regexp_extract(c, pattern, 2))
-    letter = (
-        F.when(unit == "", F.lit("G")).when(unit == "B", F.lit("")).otherwise(F.substring(unit, 1, 1))
-    )
-    return F.when(amount != "", whole_bytes(amount, _factor(letter, F.lit(1024))))
+    unit = F.lower(F.regexp_extract(c, pattern, 2))
+    return whole_bytes(F.regexp_extract(c, pattern, 1), _lookup(_OFFER_UNITS, unit))
 
 
 def duration_seconds(c: Column) -> Column:
