@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurispark.functions.paths import MANIFEST_SUFFIX, base_name, declared_path, parent
@@ -194,48 +194,53 @@ def settle(
     edges = stage(edges_of(task_inputs))
     ranked = graph.task_order(edges, tasks)
     depth = ranked.agg(F.max("level")).first()[0]
-    recorded = stage(recorded_inputs(manifests) if recorded is None else recorded)
-    inputs = stage(task_inputs.join(ranked, KEY))
-    todo = stage(tasks.select(*KEY, "definition_version", "env_version").join(ranked, KEY))
+    recorded = recorded_inputs(manifests) if recorded is None else recorded
+
+    # What no upstream can change is settled once: the verdict on the records
+    # alone, and each input beside its recorded version.
+    fixed = task_inputs.join(recorded, [*KEY, "input_name"], "left").select(
+        *KEY, "input_name", "ord", "produced_by", F.col("version").alias("current_version")
+    )
+    base = classify(tasks, fixed, manifests, foreign, recorded).join(attempts.select(*KEY, "ok", "new_version"), KEY, "left")
+    todo = stage(base.drop("why", "reason_kind", "reason_input").join(ranked, KEY))
+    first = F.row_number().over(Window.partitionBy(*KEY, "produced_by").orderBy("ord", "input_name")) == 1
+    inputs = stage(
+        task_inputs.select(*KEY, "input_name", "ord", "produced_by", "current_version")
+        .join(recorded, [*KEY, "input_name"], "left").withColumn("_first", first).join(ranked, KEY)
+    )
+
     settled: DataFrame | None = None
     for level in range(0, (depth if depth is not None else -1) + 1):
         here = todo.where(F.col("level") == level)
         mine = inputs.where(F.col("level") == level)
         if settled is None:
-            blocked = None
-            live = mine
+            mine = mine.select("*", F.lit(None).cast("string").alias("_up"), F.lit(None).cast("string").alias("_live"))
         else:
             before = settled.select(
                 "universe_id", F.col("output_id").alias("produced_by"), F.col("outcome").alias("_up"),
                 F.col("data_version").alias("_live"),
             )
             mine = mine.join(before, ["universe_id", "produced_by"], "left")
-            unmet = F.col("produced_by").isNotNull() & ~F.coalesce(usable(F.col("_up")), F.lit(False))
-            blocked = stage(
-                mine.where(unmet).groupBy(*KEY)
-                .agg(F.min("produced_by").alias("blocked_by"), F.countDistinct("produced_by").alias("n_blocking"))
-            )
-            live = mine.withColumn(
-                "current_version", F.when(F.col("produced_by").isNotNull(), F.col("_live")).otherwise(F.col("current_version"))
-            ).join(blocked, KEY, "left_anti")
-            here = here.join(blocked, KEY, "left_anti")
-        then = recorded.join(here.select(*KEY), KEY, "left_semi")
-        verdicts = classify(here, live, manifests, foreign, then)
-        done = verdicts.join(attempts.select(*KEY, "ok", "new_version"), KEY, "left")
-        runs = remake(F.col("status"), refresh)
-        good = F.coalesce(F.col("ok"), F.lit(False))
-        rows = done.select(
-            *KEY,
-            F.when(runs & good, "ok").when(runs, "failed").otherwise(F.col("status")).alias("outcome"),
-            F.when(runs & good, F.col("new_version")).when(~runs, F.col("data_version")).alias("data_version"),
-            F.lit(None).cast("string").alias("blocked_by"), F.lit(0).cast("long").alias("n_blocking"),
+        produced = F.col("produced_by").isNotNull()
+        unmet = produced & ~F.coalesce(usable(F.col("_up")), F.lit(False))
+        live = F.when(produced, F.col("_live")).otherwise(F.col("current_version"))
+        moved = live.isNull() | ~live.eqNullSafe(F.col("version"))
+        seen = mine.groupBy(*KEY).agg(
+            F.min(F.when(unmet, F.col("produced_by"))).alias("blocked_by"),
+            F.count_if(unmet & F.col("_first")).alias("n_blocking"),
+            F.coalesce(F.bool_or(moved), F.lit(False)).alias("_moved"),
         )
-        if blocked is not None:
-            rows = rows.unionByName(
-                blocked.select(*KEY, F.lit("blocked").alias("outcome"), F.lit(None).cast("string").alias("data_version"),
-                               "blocked_by", "n_blocking")
-            )
-        rows = stage(rows)
+        rows = here.join(seen, KEY, "left")
+        blocked = F.coalesce("n_blocking", F.lit(0)) > 0
+        status = F.when(F.coalesce("_moved", F.lit(False)), "stale").otherwise(F.col("status"))
+        runs = remake(status, refresh)
+        good = F.coalesce("ok", F.lit(False))
+        rows = stage(rows.select(
+            *KEY,
+            F.when(blocked, "blocked").when(runs & good, "ok").when(runs, "failed").otherwise(status).alias("outcome"),
+            F.when(blocked, None).when(runs & good, F.col("new_version")).when(~runs, F.col("data_version")).alias("data_version"),
+            "blocked_by", F.coalesce("n_blocking", F.lit(0)).alias("n_blocking"),
+        ))
         settled = rows if settled is None else settled.unionByName(rows)
     if settled is None:
         raise ValueError("no task to settle")

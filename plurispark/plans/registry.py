@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +44,12 @@ def _needed(sql: str, found: dict[str, None]) -> dict[str, None]:
     return found
 
 
-def with_derived(sql: str) -> str:
-    """Prefix *sql* with the common table expressions of the derived tables it names."""
-    names = [n for n in _needed(sql, {})]
+def with_derived(sql: str, given: Iterable[str] = ()) -> str:
+    """Prefix *sql* with the common table expressions of the derived tables it names.
+
+    Names in *given* already stand for a table and are left alone.
+    """
+    names = list(_needed(sql, dict.fromkeys(given)))[len(list(given)):]
     if not names:
         return sql
     ctes = ", ".join(f"{n} AS ({DERIVED[n]})" for n in names)
@@ -59,19 +62,22 @@ def with_derived(sql: str) -> str:
     return f"WITH {ctes} {sql}"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table, or a derived one."""
+def table(spark: SparkSession, folder: str, name: str, given: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """A driver table, or a derived one; *given* replaces derived tables it builds on."""
     if name in TABLES:
         return spark.read.parquet(f"{folder}/{name}.parquet")
-    return query(spark, folder, f"SELECT * FROM {name}")
+    return query(spark, folder, f"SELECT * FROM {name}", given)
 
 
-def query(spark: SparkSession, folder: str, sql: str) -> DataFrame:
+def query(spark: SparkSession, folder: str, sql: str, given: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Run portable SQL over the driver and derived tables."""
-    text = with_derived(sql)
+    given = given or {}
+    text = with_derived(sql, tuple(given))
     for name in TABLES:
         if re.search(rf"\b{name}\b", text):
             spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+    for name, df in given.items():
+        df.createOrReplaceTempView(name)
     return spark.sql(text)
 
 

@@ -60,6 +60,16 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_split(df: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
+    """Write *df* once and read it back as (rows with *flag* true, the others)."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.withColumn(flag, F.col(flag).cast("string")).write.partitionBy(flag).parquet(path)
+    schema = df.drop(flag).schema.add(flag, "string")
+    back = spark.read.schema(schema).parquet(path)
+    return back.where(F.col(flag) == "true").drop(flag), back.where(F.col(flag) == "false").drop(flag)
+
+
 def is_empty(df: DataFrame) -> bool:
     """Whether a staged table holds no row."""
     return not df.head(1)
