@@ -325,7 +325,7 @@ def provenance(
         description=_j("one materialization run, starting from commit ", F.when(sha == "", F.lit("(unrecorded)")).otherwise(sha)),
         actionStatus=COMPLETED, startTime=json_text(F.col("start_time")), endTime=json_text(F.col("end_time")),
     ))
-    entities.append(entity(runs, organize, ["OrganizeAction"], name=_j("scheduling of the run at ", short)))
+    shared.append(entity(runs, organize, ["OrganizeAction"], name=_j("scheduling of the run at ", short)))
     shared.append(entity(runs, engine, ["SoftwareApplication"], name=project.engine,
                            softwareVersion=json_text(F.nullif("lc_version", F.lit(""))),
                            url=F.when(engine != local_engine, json_text(engine))))

@@ -64,7 +64,8 @@ def compare(spark, con, folder: str, name: str):
     bad = [f"{c}: {mine[c]} vs {types[c]}" for c in columns if types[c] not in kinds.get(mine[c], (types[c],))]
     a, b = rows_of(df.columns, got), rows_of(columns, want)
     if a != b:
-        only = [r for r in a if r not in set(b)][:3], [r for r in b if r not in set(a)][:3]
+        left, right = set(a), set(b)
+        only = [r for r in a if r not in right][:3], [r for r in b if r not in left][:3]
         return f"rows {len(a)} vs {len(b)}\n   spark only {only[0]}\n   oracle only {only[1]}", len(got), took
     if not a:
         return "no rows", 0, took
