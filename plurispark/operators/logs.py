@@ -11,7 +11,7 @@ from plurispark.functions.paths import parent
 from plurispark.operators.containment import exploded_ancestors
 
 #: Fixed value: every character a text's lines end at, carriage return and line feed as one.
-LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 #: Fixed value: the tail of a run's error stream that is kept.
 TAIL_BYTES = 64 * 1024
@@ -45,7 +45,7 @@ def fold_warnings(log: Column) -> Column:
 
 
 #: Fixed value: every character that counts as white space at the ends of a line.
-_BLANK = r"[\t-\r\x1c-\x1f \x85\xa0  -     　]+"
+_BLANK = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def _strip(c: Column) -> Column:

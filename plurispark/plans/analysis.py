@@ -50,7 +50,7 @@ def flagship(spark: SparkSession, folder: str, by: tuple[str, ...] = (), univers
         items,
         universes,
         keeps=[
-            mv.Keep("date_cut", {"none": F.lit(True), "recent": F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")}),
+            mv.Keep("date_cut", {"none": F.lit(True), "recent": F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")}),
             mv.Keep("returns", {"keep": F.lit(True), "drop": F.col("l_returnflag") != "R"}),
         ],
         measures={
@@ -110,7 +110,7 @@ def spread(inputs, decisions):
     """Distinct parts and the largest price: not foldable from sums, so run per arm."""
     items = inputs["items"]
     kept = items.where(
-        ((decisions["date_cut"] == "none") | (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")))
+        ((decisions["date_cut"] == "none") | (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")))
         & ((decisions["returns"] == "keep") | (F.col("l_returnflag") != "R"))
     )
     return kept.groupBy("arm_id").agg(

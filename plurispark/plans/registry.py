@@ -81,5 +81,5 @@ def query(spark: SparkSession, folder: str, sql: str, given: Mapping[str, DataFr
     return spark.sql(text)
 
 
-for _area in ("analysis", "identity", "outputs", "graphs", "provenance", "allocations", "runs"):
+for _area in ("analysis", "identity", "outputs", "graphs", "provenance", "allocations", "runs", "streams"):
     importlib.import_module(f"plurispark.plans.{_area}")

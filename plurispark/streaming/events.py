@@ -21,12 +21,17 @@ BURST_GAP = "200 milliseconds"
 COMPLETION_DEADLINE_S = 10
 
 
+def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
+    """*df* with its event time as an instant; zone-less times are read in the session's zone."""
+    return df.withColumn(column, F.col(column).cast("timestamp"))
+
+
 # --- bursts and idleness -------------------------------------------------------
 
 
 def _sessions(events: DataFrame, gap: Column | str, keys: Sequence[str], delay: str) -> DataFrame:
     return (
-        events.withWatermark("ts", delay)
+        event_time(events).withWatermark("ts", delay)
         .groupBy(*keys, F.session_window("ts", gap).alias("_w"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
         .select(*keys, F.col("_w.start").alias("first_ts"), "last_ts", F.col("_w.end").alias("end_ts"), "n")
@@ -52,7 +57,7 @@ def sessions(events: DataFrame, keys: Sequence[str], gap_us: Column, bucket_us:
     """
     keys = list(keys)
     t = F.unix_micros("ts")
-    rows = events.select(*keys, "ts", t.alias("_t"), gap_us.cast("long").alias("_g"), F.floor(t / F.lit(bucket_us)).alias("_b"))
+    rows = event_time(events).select(*keys, "ts", t.alias("_t"), gap_us.cast("long").alias("_g"), F.floor(t / F.lit(bucket_us)).alias("_b"))
 
     def runs(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(start)
@@ -81,7 +86,7 @@ def idle_end(activity: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """
     gap = F.concat(F.col("idle_s").cast("string"), F.lit(" seconds"))
     return _ended(
-        activity.withWatermark("ts", delay)
+        event_time(activity).withWatermark("ts", delay)
         .groupBy("allocation", "idle_s", "walltime_s", F.session_window("ts", gap).alias("_w"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
         .select("allocation", "idle_s", "walltime_s", F.col("_w.start").alias("first_ts"), "last_ts", "n")
@@ -91,7 +96,7 @@ def idle_end(activity: DataFrame, delay: str = "10 seconds") -> DataFrame:
 def idle_end_batch(activity: DataFrame) -> DataFrame:
     keys = ["allocation", "idle_s", "walltime_s"]
     # Null-safe grouping: a missing walltime is a value of its own.
-    return _ended(sessions(activity, keys, F.col("idle_s") * 1_000_000, bucket_us=24 * BUCKET_US))
+    return _ended(sessions(activity, keys, F.col("idle_s").cast("long") * 1_000_000, bucket_us=24 * BUCKET_US))
 
 
 def _ended(rows: DataFrame) -> DataFrame:
@@ -162,7 +167,7 @@ def completion(events: DataFrame, deadline_s: int = COMPLETION_DEADLINE_S, delay
         if verdict is not None:
             yield pd.DataFrame({"task": [key[0]], "complete": [verdict]})
 
-    marks = events.where(F.col("kind").isin("returned", "done")).withWatermark("ts", delay).select(
+    marks = event_time(events).where(F.col("kind").isin("returned", "done")).withWatermark("ts", delay).select(
         "task", "kind", F.unix_micros("ts").alias("us"), "ts"
     )
     return marks.groupBy("task").applyInPandasWithState(

@@ -60,7 +60,7 @@ def compare(spark, con, folder: str, name: str):
         return f"columns {sorted(df.columns)} != {sorted(columns)}", len(got), took
     mine = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     kinds = {"bigint": ("BIGINT",), "int": ("INTEGER",), "string": ("VARCHAR",), "double": ("DOUBLE",),
-             "boolean": ("BOOLEAN",), "timestamp": ("TIMESTAMP", "TIMESTAMP WITH TIME ZONE"), "date": ("DATE",)}
+             "boolean": ("BOOLEAN",), "timestamp": ("TIMESTAMP", "TIMESTAMP WITH TIME ZONE"), "timestamp_ntz": ("TIMESTAMP",), "date": ("DATE",)}
     bad = [f"{c}: {mine[c]} vs {types[c]}" for c in columns if types[c] not in kinds.get(mine[c], (types[c],))]
     a, b = rows_of(df.columns, got), rows_of(columns, want)
     if a != b:
