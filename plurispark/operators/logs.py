@@ -45,11 +45,14 @@ def fold_warnings(log: Column) -> Column:
 
 
 #: Fixed value: every character that counts as white space at the ends of a line.
-_BLANK = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+BLANKS = (
+    "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{_BLANK}|{_BLANK}\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 #: Pieces a task's log is split into before its tail is cut.

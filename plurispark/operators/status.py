@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurispark.functions.paths import MANIFEST_SUFFIX, base_name, declared_path, parent
@@ -31,7 +31,7 @@ def recorded_inputs(manifests: DataFrame) -> DataFrame:
     return manifests.select(*KEY, F.explode("input_versions").alias("input_name", "version"))
 
 
-def _input_changes(task_inputs: DataFrame, recorded: DataFrame) -> DataFrame:
+def _input_changes(task_inputs: DataFrame, recorded: DataFrame, moves: bool) -> DataFrame:
     """Per task: the smallest name only one side has, and the first declared input that moved.
 
     Inputs meet their records on (task, name), which spreads a task with very
@@ -42,6 +42,8 @@ def _input_changes(task_inputs: DataFrame, recorded: DataFrame) -> DataFrame:
     both = now.join(then, [*KEY, "input_name"], "full_outer")
     one_sided = F.col("_now").isNull() | F.col("_then").isNull()
     moved = ~one_sided & (F.col("current_version").isNull() | ~F.col("current_version").eqNullSafe(F.col("_version")))
+    if not moves:
+        moved = F.lit(False)
     return (
         both.where(one_sided | moved)
         .groupBy(*KEY)
@@ -58,13 +60,14 @@ def classify(
     manifests: DataFrame,
     foreign: DataFrame | None = None,
     recorded: DataFrame | None = None,
+    moves: bool = True,
 ) -> DataFrame:
     """``status, reason_kind, reason_input, why`` per task.
 
     Precedence: missing, definition, declaration, input, foreign, behind,
     current. A current version of NULL means "will change". *recorded* defaults
     to the manifests' ``input_versions``. A ``data_version`` column of the
-    manifests is carried along.
+    manifests is carried along. Without *moves*, input versions are not compared.
     """
     recorded = recorded_inputs(manifests) if recorded is None else recorded
     carried = ["data_version"] if "data_version" in manifests.columns else []
@@ -75,7 +78,7 @@ def classify(
     rows = (
         tasks.select(*KEY, "definition_version", "env_version")
         .join(made, KEY, "left")
-        .join(_input_changes(task_inputs, recorded), KEY, "left")
+        .join(_input_changes(task_inputs, recorded, moves), KEY, "left")
     )
     if foreign is None:
         rows = rows.select("*", *[F.lit(None).cast("string").alias(f"_f_{c}") for c in ("sha", "subject", "author", "date")])
@@ -191,22 +194,18 @@ def settle(
     ``new_version``. ``blocked_by`` is the first upstream that did not finish and
     ``n_blocking`` their number.
     """
-    edges = stage(edges_of(task_inputs))
-    ranked = graph.task_order(edges, tasks)
+    ranked = graph.task_order(edges_of(task_inputs), tasks)
     depth = ranked.agg(F.max("level")).first()[0]
     recorded = recorded_inputs(manifests) if recorded is None else recorded
 
-    # What no upstream can change is settled once: the verdict on the records
-    # alone, and each input beside its recorded version.
-    fixed = task_inputs.join(recorded, [*KEY, "input_name"], "left").select(
-        *KEY, "input_name", "ord", "produced_by", F.col("version").alias("current_version")
-    )
-    base = classify(tasks, fixed, manifests, foreign, recorded).join(attempts.select(*KEY, "ok", "new_version"), KEY, "left")
+    # What no upstream can change is settled once: the verdict on everything but
+    # input versions, and each input beside its recorded version.
+    base = classify(tasks, task_inputs, manifests, foreign, recorded, moves=False)
+    base = base.join(attempts.select(*KEY, "ok", "new_version"), KEY, "left")
     todo = stage(base.drop("why", "reason_kind", "reason_input").join(ranked, KEY))
-    first = F.row_number().over(Window.partitionBy(*KEY, "produced_by").orderBy("ord", "input_name")) == 1
     inputs = stage(
-        task_inputs.select(*KEY, "input_name", "ord", "produced_by", "current_version")
-        .join(recorded, [*KEY, "input_name"], "left").withColumn("_first", first).join(ranked, KEY)
+        task_inputs.select(*KEY, "input_name", "produced_by", "current_version")
+        .join(recorded, [*KEY, "input_name"], "left").drop("input_name").join(ranked, KEY)
     )
 
     settled: DataFrame | None = None
@@ -227,7 +226,7 @@ def settle(
         moved = live.isNull() | ~live.eqNullSafe(F.col("version"))
         seen = mine.groupBy(*KEY).agg(
             F.min(F.when(unmet, F.col("produced_by"))).alias("blocked_by"),
-            F.count_if(unmet & F.col("_first")).alias("n_blocking"),
+            F.countDistinct(F.when(unmet, F.col("produced_by"))).alias("n_blocking"),
             F.coalesce(F.bool_or(moved), F.lit(False)).alias("_moved"),
         )
         rows = here.join(seen, KEY, "left")
