@@ -1,7 +1,7 @@
 """Exact byte amounts, durations, accelerators and resource requests.
 
-Digits are ASCII throughout. Byte amounts are ``decimal(38,0)``: an amount with
-more than 38 significant digits is refused like any other inexact amount.
+Digits are ASCII throughout. Byte amounts are ``decimal(38,0)``: a whole part or a
+fraction of more than 38 digits is refused like any other inexact amount.
 """
 
 from __future__ import annotations
@@ -19,22 +19,37 @@ def _big(value: int) -> Column:
     return F.lit(str(value)).cast(_BYTES)
 
 
+def _raised(base: int, exponent: Column, top: int) -> Column:
+    """``base ** exponent`` for exponents up to *top*, NULL beyond."""
+    return F.get(F.array(*[_big(base**i) for i in range(top + 1)]), exponent)
+
+
+def _div(a: Column, b: Column) -> Column:
+    """The exact quotient of an exact division."""
+    return F.try_divide(a, b).try_cast(_BYTES)
+
+
 def whole_bytes(amount: Column, unit: Column) -> Column:
     """Scale a decimal text by *unit* bytes; NULL unless positive and whole.
 
-    The amount is split into digits, because decimal multiplication would round
-    to six places: ``digits * unit`` must be divisible by ten to the number of
-    fraction digits.
+    Whole and fraction digits are scaled apart, because decimal multiplication
+    would round to six places. With *k* fraction digits, ``fraction * unit``
+    must be divisible by ``10**k``; a unit divisible by ``2**k`` is reduced by
+    it first, so that long binary fractions stay within the type.
     """
     whole = F.regexp_extract(amount, r"^([0-9]+)(?:\.[0-9]+)?\z", 1)
-    fraction = F.rtrim(F.regexp_extract(amount, r"^[0-9]+\.([0-9]+)\z", 1), F.lit("0"))
-    digits = F.when(whole != "", F.concat(whole, fraction)).try_cast(_BYTES)
-    shift = F.when(
-        F.length(fraction) <= 37, F.rpad(F.lit("1"), F.length(fraction) + 1, F.lit("0"))
-    ).try_cast(_BYTES)
-    scaled = F.try_multiply(digits, unit.cast(_BYTES)).cast(_BYTES)
-    exact = (scaled > 0) & ((scaled % shift) == 0)
-    return F.when(exact, F.try_divide(scaled, shift).try_cast(_BYTES))
+    digits = F.rtrim(F.regexp_extract(amount, r"^[0-9]+\.([0-9]+)\z", 1), F.lit("0"))
+    k = F.length(digits)
+    unit = unit.cast(_BYTES)
+    fraction = F.when(k == 0, F.lit("0")).otherwise(digits).try_cast(_BYTES)
+    halves = _raised(2, k, 60)
+    reduced = (unit % halves) == 0
+    top = F.when(reduced, _div(unit, halves)).otherwise(unit)
+    bottom = F.when(reduced, _raised(5, k, 54)).otherwise(_raised(10, k, 37))
+    scaled = F.try_multiply(fraction, top).cast(_BYTES)
+    part = F.when(k == 0, _big(0)).otherwise(F.when((scaled % bottom) == 0, _div(scaled, bottom)))
+    total = F.try_add(F.try_multiply(F.when(whole != "", whole).try_cast(_BYTES), unit).cast(_BYTES), part).cast(_BYTES)
+    return F.when(total > 0, total)
 
 
 def _lookup(factors: dict[str, int], unit: Column) -> Column:
