@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plurispark.functions.hashing import file_digest
 from plurispark.functions.records import is_pointer
+from plurispark.session import small
 
 
 def file_digests(files: DataFrame) -> DataFrame:
@@ -77,7 +78,14 @@ def tree_digest(files: DataFrame) -> DataFrame:
 
 
 def distinct_input_digests(task_inputs: DataFrame, files: DataFrame) -> DataFrame:
-    """Fill in each task input's current version, hashing every shared file once."""
+    """Fill in each task input's current version, hashing every shared file once.
+
+    Bytes are hashed where they are read and never shuffled: unneeded files are
+    skipped when the list of needed paths is small enough to send everywhere,
+    and hashed along otherwise.
+    """
     needed = task_inputs.select("path").distinct()
-    versions = file_digests(files.join(needed, "path", "left_semi"))
-    return task_inputs.join(versions.withColumnRenamed("data_version", "current_version"), "path", "left")
+    if small(needed):
+        files = files.join(F.broadcast(needed), "path", "left_semi")
+    versions = file_digests(files).withColumnRenamed("data_version", "current_version")
+    return task_inputs.join(versions, "path", "left")

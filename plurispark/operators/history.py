@@ -15,11 +15,13 @@ KEY = ["universe_id", "output_id"]
 def last_writer(commits: DataFrame, commit_paths: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The newest commit touching any path of each group; groups nobody wrote get no row.
 
-    *groups* is the *keys* columns plus ``path``. Only sequence numbers are
-    aggregated (and combined before the shuffle); the commit's text columns join
-    on afterwards, for one row per group.
+    *groups* is the *keys* columns plus ``path``. The log is first reduced to the
+    newest commit per path, combined before the shuffle, so a path that most
+    commits touch costs nothing; the commit's text columns join on last, for one
+    row per group.
     """
-    newest = commit_paths.join(groups, "path").groupBy(*keys).agg(F.max("seq").alias("seq"))
+    touched = commit_paths.groupBy("path").agg(F.max("seq").alias("seq"))
+    newest = touched.join(groups, "path").groupBy(*keys).agg(F.max("seq").alias("seq"))
     return newest.join(commits, "seq")
 
 

@@ -121,13 +121,19 @@ def file_integrity(files: DataFrame, keys: DataFrame) -> DataFrame:
     A stored file answers from its key; any other from its bytes, unless they
     are a reference to content that is not there.
     """
-    known = keys.select("path", F.col("key").alias("_key")).dropDuplicates(["path"])
+    known = keys.groupBy("path").agg(F.min("key").alias("_key"))
     stated = key_integrity(F.col("_key"))
     plain = F.col("content").isNotNull() & ~is_pointer(F.col("content"), F.octet_length("content"))
-    return files.join(known, "path", "left").select(
+    # Digests are taken where the bytes are read; only they travel to the join.
+    own = files.select(
+        "path", F.when(plain, F.octet_length("content").cast("string")).alias("_size"),
+        F.when(plain, F.sha2(F.col("content").cast("binary"), 256)).alias("_sha"),
+    )
+    stored = F.col("_key").isNotNull()
+    return own.join(known, "path", "left").select(
         "path",
-        F.when(F.col("_key").isNotNull(), stated["size"]).when(plain, F.octet_length("content").cast("string")).alias("content_size"),
-        F.when(F.col("_key").isNotNull(), stated["sha256"]).when(plain, F.sha2(F.col("content").cast("binary"), 256)).alias("sha256"),
+        F.when(stored, stated["size"]).otherwise(F.col("_size")).alias("content_size"),
+        F.when(stored, stated["sha256"]).otherwise(F.col("_sha")).alias("sha256"),
     )
 
 
@@ -397,16 +403,17 @@ def action_objects(
     producers = made.select("universe_id", F.col("output_id").alias("produced_by"), F.col("_file").alias("_upstream"))
     declared = paths.declared_path(root, F.col("path"))
     external = F.when(F.startswith(declared, F.lit("/")), F.concat(F.lit("file://"), declared)).otherwise(declared)
-    consumed = inputs.join(producers, ["universe_id", "produced_by"], "left").select(
-        "_action", F.when(F.col("produced_by").isNull(), external).otherwise(F.col("_upstream")).alias("dst"),
-        F.concat(F.lit("1"), F.col("input_name")).alias("ord"),
-    ).where("dst IS NOT NULL")
+    named = F.concat(F.lit("1"), F.col("input_name")).alias("ord")
+    outside = inputs.where("produced_by IS NULL").select("_action", external.alias("dst"), named)
+    upstream = inputs.where("produced_by IS NOT NULL").join(producers, ["universe_id", "produced_by"]).select(
+        "_action", F.col("_upstream").alias("dst"), named
+    )
 
     decided = made.select(*KEY, "_action", F.explode(F.map_keys("decisions")).alias("decision")).select(
         "_action", _text("#value-", F.col("universe_id"), "-", F.col("output_id"), "-", F.col("decision")).alias("dst"),
         F.concat(F.lit("2"), F.col("decision")).alias("ord"),
     )
-    return environment.unionByName(consumed).unionByName(decided)
+    return environment.unionByName(outside).unionByName(upstream).unionByName(decided)
 
 
 # --- export --------------------------------------------------------------------
@@ -422,11 +429,10 @@ def document(entities: DataFrame, edges: DataFrame, refs: int = REFS_PER_OBJECT)
     beyond *refs* continue in further objects with the same ``@id``, which JSON-LD
     merges; so no object grows with the data. Nothing reads the clock.
     """
-    counted = edges.groupBy("src", "predicate").agg(F.count(F.lit(1)).alias("_n"))
-    chunks = F.ceil(F.col("_n") / F.lit(refs))
-    placed = edges.join(counted, ["src", "predicate"]).withColumn(
-        "chunk", F.when(chunks > 1, F.pmod(F.xxhash64("dst"), chunks)).otherwise(F.lit(0)).cast("int")
-    )
+    # Only lists beyond one object need to know their length: few rows, however hot.
+    long = edges.groupBy("src", "predicate").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > refs)
+    chunk = F.pmod(F.xxhash64("dst"), F.ceil(F.col("_n") / F.lit(refs)))
+    placed = edges.join(long, ["src", "predicate"], "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)).cast("int"))
     ref = lambda e: F.concat(F.lit('{"@id":'), json_text(e["dst"]), F.lit("}"))
     lists = placed.groupBy("src", "chunk", "predicate").agg(
         F.array_sort(F.collect_list(F.struct("ord", "dst"))).alias("_refs")

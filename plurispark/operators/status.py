@@ -133,22 +133,21 @@ def predicted_inputs(
     (``path, data_version``), NULL when absent or not fetched. ``unfetched`` marks
     the latter (a file that is there but has no version).
     """
-    made = manifests.select("universe_id", F.col("output_id").alias("produced_by"), F.col("data_version").alias("_recorded"))
-    rows = task_inputs.drop("current_version").join(made, ["universe_id", "produced_by"], "left")
+    columns = [*KEY, "input_name", "ord", "path", "produced_by"]
+    rows = task_inputs.select(*columns)
+    # Two branches, so that no join meets the NULL producers of declared inputs.
+    made = manifests.select("universe_id", F.col("output_id").alias("produced_by"), F.col("data_version").alias("current_version"))
     if running is not None:
-        rows = rows.join(
-            running.select("universe_id", F.col("output_id").alias("produced_by"), F.lit(True).alias("_runs")),
-            ["universe_id", "produced_by"], "left",
-        )
-    else:
-        rows = rows.withColumn("_runs", F.lit(None).cast("boolean"))
-    known = files.select("path", F.col("data_version").alias("_version"), F.lit(True).alias("_there"))
-    produced = F.col("produced_by").isNotNull()
-    return rows.join(known, "path", "left").select(
-        *KEY, "input_name", "ord", "path", "produced_by",
-        F.when(produced, F.when(F.col("_runs").isNull(), F.col("_recorded"))).otherwise(F.col("_version")).alias("current_version"),
-        (~produced & F.col("_there").isNotNull() & F.col("_version").isNull()).alias("unfetched"),
+        runs = running.select("universe_id", F.col("output_id").alias("produced_by"))
+        made = made.join(runs, ["universe_id", "produced_by"], "left_anti")
+    produced = rows.where("produced_by IS NOT NULL").join(made, ["universe_id", "produced_by"], "left").select(
+        *columns, "current_version", F.lit(False).alias("unfetched")
     )
+    known = files.select("path", F.col("data_version").alias("current_version"), F.lit(True).alias("_there"))
+    declared = rows.where("produced_by IS NULL").join(known, "path", "left").select(
+        *columns, "current_version", (F.col("_there").isNotNull() & F.col("current_version").isNull()).alias("unfetched")
+    )
+    return produced.unionByName(declared)
 
 
 def edges_of(task_inputs: DataFrame) -> DataFrame:
@@ -200,36 +199,43 @@ def settle(
 
     # What no upstream can change is settled once: the verdict on everything but
     # input versions, and each input beside its recorded version.
+    beside = task_inputs.select(*KEY, "input_name", "produced_by", "current_version").join(
+        recorded, [*KEY, "input_name"], "left"
+    )
+    changed = F.col("current_version").isNull() | ~F.col("current_version").eqNullSafe(F.col("version"))
+    drifted = beside.where(F.col("produced_by").isNull() & changed).select(*KEY).distinct().withColumn("_drifted", F.lit(True))
     base = classify(tasks, task_inputs, manifests, foreign, recorded, moves=False)
-    base = base.join(attempts.select(*KEY, "ok", "new_version"), KEY, "left")
-    todo = stage(base.drop("why", "reason_kind", "reason_input").join(ranked, KEY))
+    todo = stage(
+        base.drop("why", "reason_kind", "reason_input").join(drifted, KEY, "left")
+        .withColumn("status", F.when(F.col("_drifted"), "stale").otherwise(F.col("status"))).drop("_drifted")
+        .join(attempts.select(*KEY, "ok", "new_version"), KEY, "left").join(ranked, KEY)
+    )
     inputs = stage(
-        task_inputs.select(*KEY, "input_name", "produced_by", "current_version")
-        .join(recorded, [*KEY, "input_name"], "left").drop("input_name").join(ranked, KEY)
+        beside.where("produced_by IS NOT NULL").select(*KEY, "produced_by", "version").join(ranked, KEY)
     )
 
     settled: DataFrame | None = None
     for level in range(0, (depth if depth is not None else -1) + 1):
         here = todo.where(F.col("level") == level)
-        mine = inputs.where(F.col("level") == level)
         if settled is None:
-            mine = mine.select("*", F.lit(None).cast("string").alias("_up"), F.lit(None).cast("string").alias("_live"))
+            rows = here.select(
+                "*", F.lit(None).cast("string").alias("blocked_by"), F.lit(0).cast("long").alias("n_blocking"),
+                F.lit(False).alias("_moved"),
+            )
         else:
             before = settled.select(
                 "universe_id", F.col("output_id").alias("produced_by"), F.col("outcome").alias("_up"),
                 F.col("data_version").alias("_live"),
             )
-            mine = mine.join(before, ["universe_id", "produced_by"], "left")
-        produced = F.col("produced_by").isNotNull()
-        unmet = produced & ~F.coalesce(usable(F.col("_up")), F.lit(False))
-        live = F.when(produced, F.col("_live")).otherwise(F.col("current_version"))
-        moved = live.isNull() | ~live.eqNullSafe(F.col("version"))
-        seen = mine.groupBy(*KEY).agg(
-            F.min(F.when(unmet, F.col("produced_by"))).alias("blocked_by"),
-            F.countDistinct(F.when(unmet, F.col("produced_by"))).alias("n_blocking"),
-            F.coalesce(F.bool_or(moved), F.lit(False)).alias("_moved"),
-        )
-        rows = here.join(seen, KEY, "left")
+            mine = inputs.where(F.col("level") == level).join(before, ["universe_id", "produced_by"], "left")
+            unmet = ~F.coalesce(usable(F.col("_up")), F.lit(False))
+            moved = F.col("_live").isNull() | ~F.col("_live").eqNullSafe(F.col("version"))
+            seen = mine.groupBy(*KEY).agg(
+                F.min(F.when(unmet, F.col("produced_by"))).alias("blocked_by"),
+                F.countDistinct(F.when(unmet, F.col("produced_by"))).alias("n_blocking"),
+                F.bool_or(moved).alias("_moved"),
+            )
+            rows = here.join(seen, KEY, "left")
         blocked = F.coalesce("n_blocking", F.lit(0)) > 0
         status = F.when(F.coalesce("_moved", F.lit(False)), "stale").otherwise(F.col("status"))
         runs = remake(status, refresh)
