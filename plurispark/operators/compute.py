@@ -240,7 +240,7 @@ def match_offer(requests: DataFrame, offers: DataFrame) -> DataFrame:
     per shape is kept.
     """
     keyed = requests.withColumn("_shape", F.to_json(F.struct(*_SHAPE)))
-    shapes = keyed.select("_shape", *_SHAPE).dropDuplicates(["_shape"])
+    shapes = keyed.select("_shape", *_SHAPE).distinct()
     wanted = F.when(F.col("accel_name").isNull(), F.lit("")).otherwise(
         F.concat(F.lower("accel_name"), F.lit(":"), F.col("accel_count").cast("string"))
     )
@@ -293,7 +293,7 @@ def admit(tasks: DataFrame, workers: DataFrame, keys: Sequence[str]) -> DataFram
     capacities, _ = shared_capacity(workers)
     shape = ["cpus", "memory_bytes", "gpus"]
     keyed = tasks.select(*keys, *shape, F.concat_ws("/", "cpus", F.coalesce(F.col("memory_bytes").cast("string"), F.lit("")), "gpus").alias("_shape"))
-    shapes = keyed.select("_shape", *shape).dropDuplicates(["_shape"])
+    shapes = keyed.select("_shape", *shape).distinct()
     levels = shapes.select("gpus").distinct()
     served = capacities.withColumn("gpus", F.explode(F.sequence(F.lit(0), F.col("gpu").cast("int")))).join(levels, "gpus", "left_semi")
     found = (

@@ -120,7 +120,7 @@ def non_default_groups(spark, folder):
 
 #: Line items cite papers by part; parts are also the paper cache.
 DERIVED["citations"] = """
-SELECT cast(l_orderkey AS string) AS analysis_id, CASE WHEN l_suppkey < 10 THEN '10.1/Absent' || cast(l_partkey AS string) ELSE ' 10.48550/arXiv.' ||
+SELECT cast(l_orderkey AS string) AS analysis_id, CASE WHEN l_returnflag = 'N' THEN '10.1/Absent' || cast(l_partkey AS string) ELSE ' 10.48550/arXiv.' ||
   CASE WHEN l_partkey < 500 THEN 'hep-th/' || lpad(cast(l_partkey AS string), 7, '0') ELSE '2401.' || lpad(cast(l_partkey AS string), 5, '0') END END AS doi,
   CASE WHEN l_quantity < 50 THEN l_linenumber - 1 END AS version FROM lineitem WHERE l_linestatus = 'F'"""
 _REVISIONS = """

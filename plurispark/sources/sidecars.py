@@ -9,8 +9,10 @@ any address a shared file system of :mod:`pyarrow.fs` understands.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,6 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from plurispark.functions.paths import MANIFEST_SUFFIX
 from plurispark.schemas import MANIFESTS
 
+# The helpers below run inside tasks: send them along, so that workers which do
+# not have this package on their path can run them, too.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Folders per reading task.
 FOLDERS_PER_TASK = 64
 
