@@ -85,6 +85,11 @@ def job_phase(state: Column) -> Column:
     return phase
 
 
+def let(value: Column, body) -> Column:
+    """*body* of *value*, which is evaluated once however often *body* uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def per_node_gpus(fields: Column) -> Column:
     """``struct<name,count>`` of GPUs on each node, NULL when the record cannot say.
 
@@ -94,19 +99,23 @@ def per_node_gpus(fields: Column) -> Column:
     """
     pattern = r"^gpu(?::([A-Za-z0-9][A-Za-z0-9_.-]*))?[:=]([0-9]+)\z"
 
-    def read(entries: Column) -> tuple[Column, Column, Column]:
-        gpus = F.filter(entries, lambda e: F.startswith(e, F.lit("gpu")))
-        malformed = F.exists(gpus, lambda e: ~e.rlike(pattern))
+    def read(gpus: Column) -> Column:
         names = F.array_distinct(F.transform(
             gpus, lambda e: F.coalesce(F.nullif(F.regexp_extract(e, pattern, 1), F.lit("")), F.lit("GPU"))
         ))
         total = F.aggregate(
             gpus, F.lit(0).cast("long"), lambda acc, e: acc + F.regexp_extract(e, pattern, 2).try_cast("long")
         )
-        mixed = F.array_contains(names, "GPU") & (F.size(names) > 1)
-        name = F.when(F.size(names) == 1, names[0]).otherwise(F.lit("GPU"))
-        answer = F.when(~malformed & ~mixed, F.struct(name.alias("name"), total.alias("count")))
-        return F.size(gpus) > 0, answer, malformed
+
+        def judge(found: Column) -> Column:
+            mixed = F.array_contains(found, "GPU") & (F.size(found) > 1)
+            name = F.when(F.size(found) == 1, found[0]).otherwise(F.lit("GPU"))
+            return F.when(~mixed, F.struct(name.alias("name"), total.alias("count")))
+
+        return F.when(F.forall(gpus, lambda e: e.rlike(pattern)), let(names, judge))
+
+    def gpu_entries(entries: Column) -> Column:
+        return F.filter(entries, lambda e: F.startswith(e, F.lit("gpu")))
 
     def get(key: str) -> Column:
         return F.coalesce(F.try_element_at(fields, F.lit(key)), F.lit(""))
@@ -116,24 +125,30 @@ def per_node_gpus(fields: Column) -> Column:
         F.split(get("TresPerNode"), ","),
         lambda e: F.regexp_replace(F.regexp_replace(e, "^gres/", ""), "^gres:", ""),
     )
-    has_node, node, _ = read(per_node)
-    has_gres, gres, _ = read(F.split(get("Gres"), ","))
-
     stated = F.coalesce(*[
         F.when(~get(k).isin("", "(null)", "N/A"), get(k)) for k in ("ReqTRES", "AllocTRES", "TRES")
     ])
-    totals = F.split(stated, ",")
-    complete = (
-        F.forall(totals, lambda e: F.contains(e, F.lit("=")))
-        & F.exists(totals, lambda e: F.startswith(e, F.lit("cpu=")))
-        & ~F.exists(totals, lambda e: F.startswith(e, F.lit("gres/gpu")))
-    )
-    return (
-        F.when(has_node, node)
-        .when(has_gres, gres)
-        .when(get("Gres").isin("(null)", "N/A", "none"), none)
-        .when(F.coalesce(complete, F.lit(False)), none)
-    )
+
+    def complete(totals: Column) -> Column:
+        return (
+            F.forall(totals, lambda e: F.contains(e, F.lit("=")))
+            & F.exists(totals, lambda e: F.startswith(e, F.lit("cpu=")))
+            & ~F.exists(totals, lambda e: F.startswith(e, F.lit("gres/gpu")))
+        )
+
+    def without_gpus() -> Column:
+        listed = F.coalesce(let(F.split(stated, ","), complete), F.lit(False))
+        return F.when(get("Gres").isin("(null)", "N/A", "none") | listed, none)
+
+    def with_gres(gres: Column) -> Column:
+        return F.when(F.size(gres) > 0, read(gres)).otherwise(without_gpus())
+
+    def with_node(node: Column) -> Column:
+        return F.when(F.size(node) > 0, read(node)).otherwise(
+            let(gpu_entries(F.split(get("Gres"), ",")), with_gres)
+        )
+
+    return let(gpu_entries(per_node), with_node)
 
 
 def node_memory_bytes(c: Column) -> Column:

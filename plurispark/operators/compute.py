@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurispark.functions import quantities as q
-from plurispark.functions.records import job_phase, node_memory_bytes, per_node_gpus
+from plurispark.functions.records import job_phase, let, node_memory_bytes, per_node_gpus
 from plurispark.session import broadcast_if_small
 
 #: Fixed value: the shape of an allocation's name.
@@ -61,26 +61,44 @@ def parse_job_detail(text: Column) -> Column:
     tokens are split, so its text cannot pose as a field; of a repeated key the
     last value counts. ``UID`` is the number inside ``UserId``.
     """
-    rows = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda r: F.trim(r)), lambda r: r != "")
-    headers = F.size(F.filter(rows, lambda r: F.startswith(r, F.lit("JobId="))))
-    comments = F.filter(rows, lambda r: F.startswith(r, F.lit("Comment=")))
-    body = F.array_join(F.filter(rows, lambda r: ~F.startswith(r, F.lit("Comment="))), " ")
     pattern = r"(?:^|\s)([A-Za-z][A-Za-z0-9_/:]*)=(\S*)"
-    keys = F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
-    values = F.regexp_extract_all(body, F.lit(pattern), F.lit(2))
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(
-        pairs,
-        lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]) & ~e["key"].isin("Comment", "UID"),
-    )
-    comment = F.when(F.size(comments) == 1, F.substring(comments[0], F.lit(9), F.length(comments[0]))).otherwise(F.lit(""))
-    user = F.filter(last, lambda e: e["key"] == "UserId")
-    owner = F.coalesce(F.regexp_extract(F.get(user, F.lit(0))["value"], r"(?s)^.*\(([0-9]+)\)\z", 1), F.lit(""))
-    fields = F.map_from_entries(F.concat(last, F.array(
-        F.struct(F.lit("Comment").alias("key"), comment.alias("value")),
-        F.struct(F.lit("UID").alias("key"), owner.alias("value")),
-    )))
-    return F.struct(fields.alias("fields"), _errors((headers != 1, "not exactly one allocation record")).alias("errors"))
+
+    def read(rows: Column) -> Column:
+        headers = F.size(F.filter(rows, lambda r: F.startswith(r, F.lit("JobId="))))
+        comments = F.filter(rows, lambda r: F.startswith(r, F.lit("Comment=")))
+        body = F.array_join(F.filter(rows, lambda r: ~F.startswith(r, F.lit("Comment="))), " ")
+        comment = F.when(
+            F.size(comments) == 1, F.substring(comments[0], F.lit(9), F.length(comments[0]))
+        ).otherwise(F.lit(""))
+
+        def tokens(both: Column) -> Column:
+            keys = both["keys"]
+            pairs = F.zip_with(keys, both["values"], lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+            return F.filter(
+                pairs,
+                lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])
+                & ~e["key"].isin("Comment", "UID"),
+            )
+
+        def fields(last: Column) -> Column:
+            user = F.filter(last, lambda e: e["key"] == "UserId")
+            owner = F.regexp_extract(F.get(user, F.lit(0))["value"], r"(?s)^.*\(([0-9]+)\)\z", 1)
+            return F.map_from_entries(F.concat(last, F.array(
+                F.struct(F.lit("Comment").alias("key"), comment.alias("value")),
+                F.struct(F.lit("UID").alias("key"), F.coalesce(owner, F.lit("")).alias("value")),
+            )))
+
+        both = let(body, lambda b: F.struct(
+            F.regexp_extract_all(b, F.lit(pattern), F.lit(1)).alias("keys"),
+            F.regexp_extract_all(b, F.lit(pattern), F.lit(2)).alias("values"),
+        ))
+        return F.struct(
+            let(let(both, tokens), fields).alias("fields"),
+            _errors((headers != 1, "not exactly one allocation record")).alias("errors"),
+        )
+
+    lines = F.transform(F.split(text, r"\r\n|\n|\r"), lambda r: F.trim(r))
+    return let(F.filter(lines, lambda r: r != ""), read)
 
 
 def normalise_allocations(details: DataFrame, column: str = "text") -> DataFrame:
