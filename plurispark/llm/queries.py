@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurispark.llm import lengths, lines, packing, quality
+from plurispark.llm import lengths, lines, near, packing, quality
 from plurispark.llm.common import read
 
 QUERIES: dict = {}
@@ -76,3 +76,18 @@ def op9_token_counts(spark, folder):
 @register("op8_packing")
 def op8_packing(spark, folder):
     return packing.pack(read(spark, folder, "documents"))
+
+
+@register("op2_ngram_jaccard", r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n FROM g),
+t AS (SELECT doc_id, md5(unnest(s)) AS t FROM g),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM t x JOIN t y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least_id AS component_id FROM n JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) ON a = n.doc_id""")
+def op2_ngram_jaccard(spark, folder):
+    return near.jaccard_join(read(spark, folder, "documents"), n=4, percent=85)
