@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurispark.llm import lengths, lines, near, packing, quality
+from plurispark.llm import leaks, lengths, lines, near, packing, quality, suffixes
 from plurispark.llm.common import read
 
 QUERIES: dict = {}
@@ -91,3 +91,13 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM reach r
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least_id AS component_id FROM n JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) ON a = n.doc_id""")
 def op2_ngram_jaccard(spark, folder):
     return near.jaccard_join(read(spark, folder, "documents"), n=4, percent=85)
+
+
+@register("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark, folder):
+    return leaks.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@register("op7_suffix_dedup")
+def op7_suffix_dedup(spark, folder):
+    return suffixes.suffix_dedup(read(spark, folder, "documents"))
