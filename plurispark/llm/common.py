@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +52,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bytes of text whose hashes are held at once.
+SLICE = 1 << 20
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about SLICE bytes: number of the first, bytes and offsets.
+
+    A text is never cut, so a task holds one slice or one very long text at a time.
+    """
+    data, offsets = text_bytes(column)
+    at = 0
+    while at < len(offsets) - 1:
+        end = max(int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1, at + 1)
+        yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        at = end
+
+
 def lower_bytes(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 

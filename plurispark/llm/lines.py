@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plurispark.session import broadcast_if_small
+from plurispark.session import broadcast_if_small, stage
 
 RATIO_PERCENT = 10
 MIN_PAGES = 8
@@ -49,7 +49,7 @@ def with_host_lines(docs: DataFrame, frequent: DataFrame, host: str, name: str)
     *frequent* holds (``_host``, ``_line``) with few lines a host: each is on a fixed
     share of the host's pages, so a host has at most (mean lines a page) / share of them.
     """
-    per_host = frequent.groupBy("_host").agg(F.collect_set("_line").alias(name))
+    per_host = stage(frequent.groupBy("_host").agg(F.collect_set("_line").alias(name)))
     small = broadcast_if_small(per_host)
     if small is not per_host:
         return docs.join(small, docs[host].eqNullSafe(F.col("_host")), "left").drop("_host")

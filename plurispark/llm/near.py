@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurispark.llm.common import ascii_lower, hash_spans, lower_bytes, mix, shuffle_partitions, text_bytes, windows, words_of
+from plurispark.llm.common import ascii_lower, hash_spans, lower_bytes, mix, shuffle_partitions, slices, windows, words_of
 from plurispark.llm.components import components
 from plurispark.session import broadcast_if_small, is_empty, stage
 
@@ -55,22 +55,19 @@ def allowed_missing(n, percent: int):
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles of *n* words."""
-    data, offsets = text_bytes(texts)
-    data = lower_bytes(data)
-    first, last, before = words_of(data, offsets)
-    h = hash_spans(data, first, last)
-    g = windows(h, n)
-    for i in range(len(texts)):
-        a, b = int(before[i]), int(before[i + 1])
-        if b - a >= n:
-            yield np.unique(g[a : b - n + 1])
-        elif b > a:
-            whole = h[a:b]
-            for _ in range(n - (b - a)):  # a short sequence never equals a full shingle
-                whole = np.append(whole, np.uint64(0x5DEECE66D))
-            yield windows(whole, n)
-        else:
-            yield np.zeros(0, np.uint64)
+    for _, data, offsets in slices(texts):
+        data = lower_bytes(data)
+        first, last, before = words_of(data, offsets)
+        h = hash_spans(data, first, last)
+        g = windows(h, n)
+        for a, b in zip(before[:-1].tolist(), before[1:].tolist()):
+            if b - a >= n:
+                yield np.unique(g[a : b - n + 1])
+            elif b > a:
+                short = np.full(n - (b - a), 0x5DEECE66D, np.uint64)  # so that it never equals a full shingle
+                yield windows(np.concatenate((h[a:b], short)), n)
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 _PACKED = pa.schema([("part", pa.int32()), ("owner", pa.binary()), ("count", pa.binary()), ("value", pa.binary())])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plurispark.llm import lines
-from plurispark.llm.common import hash_spans, text_bytes, words_of, windows
+from plurispark.llm.common import hash_spans, slices, words_of, windows
 from plurispark.session import broadcast_if_small
 
 MIN_WORDS = 20
@@ -56,19 +56,17 @@ def _repeated_words(h: np.ndarray, first: int, last: int) -> int:
     return int((np.cumsum(steps[:-1]) > 0).sum())
 
 
-def measure(texts: pa.Array) -> dict[str, np.ndarray]:
-    """The measures of each text of a batch."""
-    data, offsets = text_bytes(texts)
+def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """The measures of each text of a slice."""
     first, last, before = words_of(data, offsets)
     h = hash_spans(data, first, last)
     in_word = (data & 0xC0) != 0x80
     in_word &= (data != 32) & ((data < 9) | (data > 13))
     chars = np.concatenate(([0], np.cumsum(in_word, dtype=np.int64)))
     marks = np.concatenate(([0], np.cumsum(_SYMBOLS[data], dtype=np.int64)))
-    n = len(texts)
+    n = len(offsets) - 1
     dup_lines, repeats = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    feeds = np.flatnonzero(data == 10)
-    feed_at = np.searchsorted(feeds, offsets)
+    feed_at = np.searchsorted(np.flatnonzero(data == 10), offsets)
     blank = b" \t\r\x0b\x0c"
     for i in range(n):
         a, b = int(before[i]), int(before[i + 1])
@@ -88,13 +86,12 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, left = batch.column("_text"), batch.column("_left")
-        data, offsets = text_bytes(left)
-        words_left = np.diff(words_of(data, offsets)[2])
-        out = {k: pa.array(v, pa.int64()) for k, v in measure(text).items()}
-        out["_words_left"] = pa.array(words_left, pa.int64())
-        rest = {k: batch.column(k) for k in batch.schema.names if k not in ("_text",)}
-        yield pa.RecordBatch.from_pydict(rest | out)
+        found = [measure(data, offsets) for _, data, offsets in slices(batch.column("_text"))]
+        left = [np.diff(words_of(data, offsets)[2]) for _, data, offsets in slices(batch.column("_left"))]
+        whole = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+        yield pa.RecordBatch.from_pydict(
+            {"_id": batch.column("_id"), "_left": batch.column("_left")}
+            | {m: whole([f[m] for f in found]) for m in MEASURES} | {"_words_left": whole(left)})
 
 
 def frequent_lines(docs: DataFrame, text: str, host: str, limit_percent: int, limit_docs: int) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurispark.llm.common import mix, shuffle_partitions, text_bytes
+from plurispark.llm.common import mix, shuffle_partitions, slices
 from plurispark.session import broadcast_if_small, stage
 
 SIZE = 50
@@ -43,8 +43,7 @@ SPAN = SIZE - GRAM + 1
 SIDE = (SIZE - GRAM + 1) // 2
 SHALLOW = 24
 GROUPS = 4
-#: Bytes of text whose hashes are held at once, and regions held before they are handed out.
-SLICE = 1 << 20
+#: Regions held by a task before they are handed out.
 FLUSH = 1_000_000
 
 _BYTE = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,16 +124,6 @@ def regions(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return dict(zip(names, (text, nth, first, last - first + 1, h[at], same, left.astype(np.uint64), right.astype(np.uint64))))
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts of about SLICE bytes: number of the first, bytes and offsets."""
-    data, offsets = text_bytes(column)
-    at = 0
-    while at < len(offsets) - 1:
-        end = max(int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1, at + 1)
-        yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-        at = end
-
-
 def _cut(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(parts + 1))
@@ -217,7 +206,7 @@ def sent_regions(texts: DataFrame, parts: int) -> DataFrame:
         box = _Outbox(parts)
         for batch in batches:
             owners, ranks = (np.asarray(batch.column(k)).astype("<i8") for k in ("_key", "_rank"))
-            for at, data, offsets in _slices(batch.column("_text")):
+            for at, data, offsets in slices(batch.column("_text")):
                 end = at + len(offsets) - 1
                 box.add(owners[at:end], ranks[at:end], regions(data, offsets))
                 if box.held >= FLUSH:
@@ -301,7 +290,7 @@ def sent_rims(texts: DataFrame, parts: int) -> DataFrame:
             news = batch.column("news")
             out: dict[str, list] = {k: [] for k in _MET.names}
             heads, bodies, keys = [], [], []
-            for at, data, offsets in _slices(batch.column("_text")):
+            for at, data, offsets in slices(batch.column("_text")):
                 r = regions(data, offsets)
                 begin = np.searchsorted(r["text"], np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
@@ -435,7 +424,7 @@ def cut_texts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("n_removed", "n_spans", "kept_sha256", "kept")}
             news, masks = batch.column("news"), batch.column("masks")
-            for at, data, offsets in _slices(batch.column("_text")):
+            for at, data, offsets in slices(batch.column("_text")):
                 r = regions(data, offsets)
                 begin = np.searchsorted(r["text"], np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
