@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurispark.llm import leaks, lengths, lines, near, packing, quality, suffixes
+from plurispark.llm import chat, leaks, lengths, lines, near, packing, quality, suffixes, urls
 from plurispark.llm.common import read
 
 QUERIES: dict = {}
@@ -101,3 +101,16 @@ def op6_benchmark_decontamination(spark, folder):
 @register("op7_suffix_dedup")
 def op7_suffix_dedup(spark, folder):
     return suffixes.suffix_dedup(read(spark, folder, "documents"))
+
+
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+@register("op4_url_filters")
+def op4_url_filters(spark, folder):
+    return urls.judge(read(spark, folder, "pages"), URL_RULES)
+
+
+@register("op5_chat_formatting")
+def op5_chat_formatting(spark, folder):
+    return chat.repair(read(spark, folder, "conversations"))
