@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurispark.llm import chat, leaks, lengths, lines, near, packing, quality, suffixes, urls
+from plurispark.llm import chat, leaks, lengths, lines, near, packing, perplexity, quality, suffixes, urls
 from plurispark.llm.common import read
 
 QUERIES: dict = {}
@@ -114,3 +114,8 @@ def op4_url_filters(spark, folder):
 @register("op5_chat_formatting")
 def op5_chat_formatting(spark, folder):
     return chat.repair(read(spark, folder, "conversations"))
+
+
+@register("op1_quality_classifier")
+def op1_quality_classifier(spark, folder):
+    return perplexity.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
