@@ -12,7 +12,7 @@ is a host of its own; repeated rows are judged each and count once for the lines
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +90,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = [np.diff(words_of(data, offsets)[2]) for _, data, offsets in slices(batch.column("_left"))]
         whole = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
         yield pa.RecordBatch.from_pydict(
-            {"_id": batch.column("_id"), "_left": batch.column("_left")}
+            {k: batch.column(k) for k in batch.schema.names if k != "_text"}
             | {m: whole([f[m] for f in found]) for m in MEASURES} | {"_words_left": whole(left)})
 
 
@@ -111,19 +111,22 @@ def frequent_lines(docs: DataFrame, text: str, host: str, limit_percent: int, li
 
 def quality_rules(
     docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source",
-    limit_percent: int = LIMIT_PERCENT, limit_docs: int = LIMIT_DOCS,
+    limit_percent: int = LIMIT_PERCENT, limit_docs: int = LIMIT_DOCS, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row: the id, the measures, ``base_failed``, ``kept``, ``n_words_left`` and ``text_left``."""
+    """Per row: the id, the measures, ``base_failed``, ``kept``, ``n_words_left``, ``text_left`` and the columns to *carry*."""
     frequent = frequent_lines(docs, text, host, limit_percent, limit_docs)
-    slim = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.col(host).alias("_host_of"))
+    carried = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
+    slim = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.col(host).alias("_host_of"), *carried)
     found = lines.with_host_lines(slim, frequent, "_host_of", "_drop")
-    judged = found.select("_id", "_text", lines.kept_lines(F.col("_text"), F.col("_drop")).alias("_left"))
+    through = [f"_carry{i}" for i in range(len(carry))]
+    judged = found.select("_id", *through, "_text", lines.kept_lines(F.col("_text"), F.col("_drop")).alias("_left"))
     fields = ", ".join(f"{m} long" for m in MEASURES)
     kind = docs.schema[id].dataType.simpleString()
-    out = judged.mapInArrow(_measured, f"_id {kind}, _left string, {fields}, _words_left long")
+    kinds = "".join(f"_carry{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
+    out = judged.mapInArrow(_measured, f"_id {kind}, {kinds}_left string, {fields}, _words_left long")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     depleted = F.col("_words_left") * 100 < F.col("n_words") * MIN_LEFT_PERCENT
     return out.select(
         F.col("_id").alias(id), *MEASURES, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
-        F.col("_words_left").alias("n_words_left"), F.col("_left").alias("text_left"),
+        F.col("_words_left").alias("n_words_left"), F.col("_left").alias("text_left"), *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)],
     )
