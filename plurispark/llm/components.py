@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stage(both.where("a <> b").distinct())
     labels = None
     while not is_empty(edges):
-        near = stage(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
+        near = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"))
         up = near.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         roots = stage(near.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("root")))
         if labels is None:

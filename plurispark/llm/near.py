@@ -11,10 +11,13 @@ sets share one among the first ``n - ceil(percent * n / 100) + 1`` members: thei
 2. Each order ranks rarer shingles first (that is where few sets meet) and breaks ties by
    a hash of its own. Sets that share a prefix shingle of the first order meet; those
    that share none under some other order are dropped, and only the rest are verified.
-3. Meeting is done in rounds. First every set meets only the leader of each posting list,
-   which is linear in the lists and merges groups of copies. Then the sets of a list that
-   are in different components meet. No link between different texts can be missed: two
-   sets are left out only when they are already connected.
+   Shingles that no other set holds also bound the overlap itself: it is at most the smaller
+   number of shared shingles of the two, and of the smaller set a shorter prefix will do.
+3. Meeting is done in rounds. First every set meets one leader, the set with the fewest
+   unshared shingles on its posting lists; that is one pair a set and merges groups
+   of copies. Then the sets of a list that are in different components and within those
+   bounds meet. No link between different texts can be missed: two sets are left out only
+   when they are already connected or cannot link.
 
 Equal texts (after lower-casing) are one set; they cost one row each.
 
@@ -43,9 +46,9 @@ ORDERS = 3
 FLUSH = 2_000_000
 #: Groups for each shuffle partition; a group's columns are held by one task at a time.
 GROUPS = 4
-#: Meetings inside lists are taken whole when they are below so many for each row of the lists.
-MEETINGS_PER_ROW = 4
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+#: Bytes of a shingle's hash that travel; the part it travels to tells further bits.
+WIDTH = 5
 
 
 def allowed_missing(n, percent: int):
@@ -70,8 +73,25 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-_PACKED = pa.schema([("part", pa.int32()), ("owner", pa.binary()), ("count", pa.binary()), ("value", pa.binary())])
-_PACKED_DDL = "part int, owner binary, count binary, value binary"
+#: Owners (8 bytes each), how many shingles of each follow (4 bytes; in the second shuffle their part too), the
+#: shingles (WIDTH bytes each) and how common they are (a byte each, once it is known).
+_PACKED = pa.schema([("part", pa.int32()), ("origin", pa.int32()), ("owner", pa.binary()), ("count", pa.binary()), ("value", pa.binary()), ("rank", pa.binary())])
+_PACKED_DDL = "part int, origin int, owner binary, count binary, value binary, rank binary"
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return out.reshape(-1).view("<u8")
+
+
+def _row(rows: dict[str, list], part: int, origin: int, owner: np.ndarray, count: np.ndarray, value: bytes = b"", rank: bytes = b"") -> None:
+    for k, v in zip(_PACKED.names, (int(part), int(origin), owner.astype("<i8").tobytes(), count.astype("<i4").tobytes(), value, rank)):
+        rows[k].append(v)
 
 
 def _group(keys: np.ndarray, groups: int) -> np.ndarray:
@@ -98,13 +118,11 @@ def _dealt(sets: list[np.ndarray], keys: list[int], parts: int) -> pa.RecordBatc
     for p in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[p], cuts[p + 1]
         who, count = np.unique(of[a:b], return_counts=True)
-        for k, v in (("part", int(p)), ("owner", owner[who].tobytes()), ("count", count.astype("<i4").tobytes()), ("value", values[a:b].tobytes())):
-            rows[k].append(v)
+        _row(rows, p, p, owner[who], count, _narrow(values[a:b]))
     order, cuts = _slices(_group(owner, parts), parts)
     for g in np.flatnonzero(np.diff(cuts)):
         at = order[cuts[g] : cuts[g + 1]]
-        for k, v in (("part", int(parts + g)), ("owner", owner[at].tobytes()), ("count", size[at].tobytes()), ("value", b"")):
-            rows[k].append(v)
+        _row(rows, parts + g, parts, owner[at], size[at])
     return pa.RecordBatch.from_pydict(rows, schema=_PACKED)
 
 
@@ -138,8 +156,9 @@ def shared_shingles(packed: DataFrame, parts: int) -> DataFrame:
             at = table.schema.get_field_index("part")
             group = pa.array([x - parts for x in table.column("part").to_pylist()], pa.int32())
             return table.set_column(at, "part", group)
+        part = table.column("part")[0].as_py()
         owner = np.repeat(_joined(table, "owner", "<i8"), _joined(table, "count", "<i4"))
-        value = _joined(table, "value", "<u8")
+        value = _wide(b"".join(table.column("value").to_pylist()))
         order = np.lexsort((owner, value))
         owner, value = owner[order], value[order]
         new = np.ones(len(value), bool)
@@ -149,53 +168,60 @@ def shared_shingles(packed: DataFrame, parts: int) -> DataFrame:
         holders = np.diff(np.append(start, len(value)))
         holders = np.repeat(holders, holders)
         keep = holders > 1
-        owner, value, holders = owner[keep], value[keep], np.minimum(holders[keep], 2**31 - 1).astype("<i4")
-        order, cuts = _slices(_group(owner, parts), parts)
+        owner, value = owner[keep], value[keep]
+        rank = np.minimum(np.log2(holders[keep]) * 6, 255).astype(np.uint8)
+        order = np.lexsort((owner, _group(owner, parts)))
+        owner, value, rank = owner[order], value[order], rank[order]
+        cuts = np.searchsorted(_group(owner, parts), np.arange(parts + 1))
         for g in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[g] : cuts[g + 1]]
-            for k, v in (("part", int(g)), ("owner", owner[at].tobytes()), ("count", holders[at].tobytes()), ("value", value[at].tobytes())):
-                rows[k].append(v)
+            a, b = cuts[g], cuts[g + 1]
+            who, count = np.unique(owner[a:b], return_counts=True)
+            _row(rows, g, part, who, count, _narrow(value[a:b]), rank[a:b].tobytes())
         return pa.Table.from_pydict(rows, schema=_PACKED)
 
     return packed.groupBy("part").applyInArrow(run, _PACKED_DDL)
 
 
-def _prefixes(value: np.ndarray, holders: np.ndarray, take: int) -> list[np.ndarray]:
-    """The first *take* members of a set's shared shingles under each order."""
+def _prefixes(value: np.ndarray, rank: np.ndarray, take: int) -> list[np.ndarray]:
+    """The first *take* members of a set's shared shingles under each order: the rarer first, ties by a hash."""
     out = []
     for k in range(ORDERS):
         tie = mix(value ^ np.uint64(0xA5A5A5A5 * (k + 1)))
-        rank = holders if k == 0 else np.frexp(holders.astype(np.float64))[1]
-        out.append(value[np.lexsort((tie, rank))[:take]])
+        out.append(value[np.lexsort((tie, rank if k == 0 else rank // 6))[:take]])
     return out
 
 
-def candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """Every set's ``key`` and ``n``; those that may link also have ``shared`` shingles and a prefix for each order."""
+def candidates(shared: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Every set's ``key`` and ``n``; those that may link also have their number ``s`` of ``shared`` shingles, a prefix for
+    each order, and ``short``: how much of the first prefix is enough when the partner is no smaller."""
     names = [f"prefix{k}" for k in range(ORDERS)]
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("shared", pa.binary()), *((p, pa.list_(pa.int64())) for p in names)])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("short", pa.int64()), ("shared", pa.binary()), *((p, pa.list_(pa.int64())) for p in names)])
 
     def run(table: pa.Table) -> pa.Table:
-        sizes = np.array([not x for x in table.column("value").to_pylist()])
-        of_sets, of_shingles = table.filter(pa.array(sizes)), table.filter(pa.array(~sizes))
+        origin = np.asarray(table.column("origin"))
+        of_sets, of_shingles = table.filter(pa.array(origin == parts)), table.filter(pa.array(origin < parts))
         keys, at = np.unique(_joined(of_sets, "owner", "<i8"), return_index=True)
         n = _joined(of_sets, "count", "<i4")[at].astype(np.int64)
-        owner, holders, value = _joined(of_shingles, "owner", "<i8"), _joined(of_shingles, "count", "<i4"), _joined(of_shingles, "value", "<u8")
+        owner = np.repeat(_joined(of_shingles, "owner", "<i8"), _joined(of_shingles, "count", "<i4"))
+        value, rank = _wide(b"".join(of_shingles.column("value").to_pylist())), _joined(of_shingles, "rank", np.uint8)
+        value = value | np.repeat(origin[origin < parts].astype(np.uint64) << np.uint64(8 * WIDTH), [len(x) // WIDTH for x in of_shingles.column("value").to_pylist()])
         order = np.lexsort((value, owner))
-        owner, holders, value = owner[order], holders[order], value[order]
+        owner, rank, value = owner[order], rank[order], value[order]
         first, last = np.searchsorted(owner, keys), np.searchsorted(owner, keys, side="right")
-        take = allowed_missing(n, percent) + 1 - (n - (last - first))
-        held: list = [None] * len(keys)
-        prefixes: dict[str, list] = {p: [None] * len(keys) for p in names}
+        alone = n - (last - first)
+        take = allowed_missing(n, percent) + 1 - alone
+        # With a partner of m >= n members the overlap is at least percent * (n + m) / (100 + percent), so fewer may be missing.
+        short = n - (2 * n * percent + 99 + percent) // (100 + percent) + 1 - alone
+        out: dict[str, list] = {k: [None] * len(keys) for k in schema.names[2:]}
         for i in np.flatnonzero((take > 0) & (last > first)):
             a, b = first[i], last[i]
-            held[i] = value[a:b].tobytes()
-            for name, p in zip(names, _prefixes(value[a:b], holders[a:b], int(take[i]))):
-                prefixes[name][i] = p.view(np.int64)
-        return pa.Table.from_pydict({"key": keys, "n": n, "shared": held} | prefixes, schema=schema)
+            out["s"][i], out["short"][i], out["shared"][i] = int(b - a), int(short[i]), value[a:b].tobytes()
+            for name, p in zip(names, _prefixes(value[a:b], rank[a:b], int(take[i]))):
+                out[name][i] = p.view(np.int64)
+        return pa.Table.from_pydict({"key": keys, "n": n} | out, schema=schema)
 
     fields = ", ".join(f"{p} array<long>" for p in names)
-    return shared.groupBy("part").applyInArrow(run, f"key long, n long, shared binary, {fields}")
+    return shared.groupBy("part").applyInArrow(run, f"key long, n long, s long, short long, shared binary, {fields}")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,34 +248,41 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _may_link(x: str, y: str, percent: int) -> str:
+    """Whether two list rows may link: by size, by shared shingles, and by the shorter prefix of the smaller set."""
+    smaller = f"({x}.n < {y}.n OR ({x}.n = {y}.n AND {x}.key < {y}.key))"
+    return (
+        f"least({x}.n, {y}.n) * 100 >= greatest({x}.n, {y}.n) * {percent}"
+        f" AND least({x}.s, {y}.s) * {100 + percent} >= ({x}.n + {y}.n) * {percent}"
+        f" AND CASE WHEN {smaller} THEN {x}.brief ELSE {y}.brief END"
+    )
+
+
 def linked(sets: DataFrame, percent: int) -> DataFrame:
     """``node, root`` of all sets that link with another, from the candidate sets."""
-    lists = sets.select("key", F.explode("prefix0").alias("t"))
-    held = lists.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
-    lists = stage(lists.join(held, "t", "left_semi"))
+    rows = sets.select("key", "n", "s", "short", F.posexplode("prefix0").alias("place", "t"))
+    rows = rows.select("key", "n", "s", "t", (F.col("place") < F.col("short")).alias("brief"))
+    held = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
+    lists = stage(rows.join(held, "t", "left_semi").withColumn("root", F.col("key")))
     links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
-        now = lists.withColumn("root", F.col("key")) if labels is None else (
-            lists.join(labels, lists["key"] == labels["node"], "left").select("key", "t", F.coalesce("root", "key").alias("root")))
         if labels is not None:
-            open_lists = now.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-            now = lists = stage(now.join(open_lists, "t", "left_semi").select("key", "t", "root"))
-            lists = lists.drop("root")
-            inside = now.groupBy("t", "root").agg(F.count(F.lit(1)).alias("m"))
-            sizes = inside.groupBy("t").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("s"))
-            found = sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-            if not found["rows"]:
+            moved = lists.drop("root").join(labels, lists["key"] == labels["node"], "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+            still = moved.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
+            lists = stage(moved.join(still, "t", "left_semi"))
+            if is_empty(lists):
                 break
-            if found["pairs"] <= MEETINGS_PER_ROW * found["rows"] or turn == STAR_ROUNDS:
-                x, y = now.select("t", F.col("key").alias("a"), F.col("root").alias("ra")), now.select("t", F.col("key").alias("b"), F.col("root").alias("rb"))
-                pairs = x.join(y, "t").where("a < b AND ra <> rb").select("a", "b").distinct()
-                links = links.union(stage(verified(pairs, sets, percent)))
-                return components(links)
-        leaders = now.groupBy("t").agg(F.min_by(F.struct("key", "root"), F.xxhash64(F.lit(turn), F.col("key"))).alias("lead"))
-        pairs = (
-            now.join(leaders, "t").where((F.col("root") != F.col("lead.root")))
-            .select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
-        )
+        if turn == STAR_ROUNDS:
+            x, y = lists.alias("x"), lists.alias("y")
+            pairs = x.join(y, F.expr(f"x.t = y.t AND x.key < y.key AND x.root <> y.root AND {_may_link('x', 'y', percent)}"))
+            pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+        else:
+            # The first leader has the fewest unshared shingles; the next ones are drawn, so that others get their turn.
+            order = F.struct((F.col("n") - F.col("s")).alias("u"), "key") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), F.col("root")).alias("u"), "key")
+            leaders = lists.groupBy("t").agg(F.min(F.struct(order.alias("o"), "key", "n", "s", "brief", "root")).alias("l")).select("t", "l.*")
+            met = lists.alias("x").join(leaders.alias("y"), F.expr(f"x.t = y.t AND x.root <> y.root AND {_may_link('x', 'y', percent)}"))
+            best = met.groupBy(F.col("x.key").alias("k")).agg(F.min(F.struct("y.o", F.col("y.key").alias("lead"))).alias("m"))
+            pairs = best.select(F.least("k", "m.lead").alias("a"), F.greatest("k", "m.lead").alias("b")).distinct()
         more = stage(verified(pairs, sets, percent))
         links = more if links is None else links.union(more)
         labels = components(links)
@@ -270,7 +303,7 @@ def jaccard_join(docs: DataFrame, n: int, percent: int, id: str = "doc_id", text
         broadcast_if_small(repeats).alias("r"),
         F.col("k._id").eqNullSafe(F.col("r._id")) & (F.col("k._key") == F.col("r._key")), "left_anti")
     parts = GROUPS * shuffle_partitions(spark)
-    everything = stage(candidates(shared_shingles(packed_shingles(single, n, parts), parts), percent))
+    everything = stage(candidates(shared_shingles(packed_shingles(single, n, parts), parts), percent, parts))
     sets = everything.where("shared IS NOT NULL")
     out = ids.join(everything.select(F.col("key").alias("_key"), F.col("n").alias("n_shingles")), "_key")
     if is_empty(sets):
