@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurispark.functions.paths import parent
-from plurispark.operators.containment import exploded_ancestors
+from plurispark.operators.containment import exploded_ancestors, root_form
 
 #: Fixed value: every character a text's lines end at, carriage return and line feed as one.
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
@@ -34,14 +34,18 @@ def fold_warnings(log: Column) -> Column:
     continues the latest warning, whatever lies between. The log is one text, so
     this needs no shuffle and no window.
     """
+    # A mark of two characters that the texts cannot hold: their own NULs are followed by another character.
+    nul, mark = "\u0000\u0001", "\u0000\u0002"
+    log = F.replace(log, F.lit("\u0000"), F.lit(nul))
     start = lambda line: F.startswith(line, F.lit("warning:"))
     more = lambda line: (F.startswith(line, F.lit("  ")) | F.startswith(line, F.lit("\t"))) & (_strip(line) != "")
     lines = F.filter(F.split(log, LINE_ENDS), lambda line: start(line) | more(line))
     marked = F.transform(lines, lambda line: F.when(
-        start(line), F.concat(F.lit("\u0000"), _strip(F.substring(line, F.lit(9), F.length(line))))
+        start(line), F.concat(F.lit(mark), _strip(F.substring(line, F.lit(9), F.length(line))))
     ).otherwise(F.concat(F.lit(" "), _strip(line))))
     # What precedes the first mark continues nothing.
-    return F.slice(F.split(F.array_join(marked, ""), "\u0000"), 2, 1_000_000_000)
+    return F.transform(
+        F.filter(F.split(F.array_join(marked, ""), mark), lambda _, i: i > 0), lambda w: F.replace(w, F.lit(nul), F.lit("\u0000")))
 
 
 #: Fixed value: every character that counts as white space at the ends of a line.
@@ -102,9 +106,11 @@ def ordered_candidates(log: Column, launcher: str = "sandbox") -> Column:
 
 def _grants(paths: DataFrame, policy_roots: DataFrame) -> DataFrame:
     """``policy_id, path, read, write, execute``: which tiers hold each path."""
-    held = exploded_ancestors(paths.select("policy_id", "path").distinct()).join(
-        policy_roots.withColumnRenamed("root", "ancestor"), ["policy_id", "ancestor"]
-    )
+    roots = policy_roots.select("policy_id", "tier", root_form(F.col("root")).alias("ancestor"))
+    asked = paths.select("policy_id", "path").distinct()
+    held = exploded_ancestors(asked).join(roots.where("ancestor <> '/'"), ["policy_id", "ancestor"]).select("policy_id", "path", "tier")
+    everywhere = asked.where(F.startswith("path", F.lit("/"))).join(roots.where("ancestor = '/'"), "policy_id").select("policy_id", "path", "tier")
+    held = held.union(everywhere)
     return held.groupBy("policy_id", "path").agg(*[
         F.bool_or(F.col("tier") == t).alias(t) for t in ("read", "write", "execute")
     ])

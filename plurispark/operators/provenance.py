@@ -244,7 +244,7 @@ def provenance(
     steps = step_positions(tasks)
     tool = _text(f"{remote}#tool/", o) if remote else uri("tool/", o)
     step = _text("#step-", o)
-    entities.append(entity(steps, tool, ["SoftwareApplication"], name=_j(o), description=_j("the recipe of output `", o, "`"),
+    entities.append(entity(steps, tool, ["SoftwareApplication"], name=_j(o), description=_j("recipe behind `", o, "`"),
                            url=remote or None, softwareVersion=version))
     entities.append(entity(steps, step, ["HowToStep"], position=F.col("position").cast("string")))
     place = F.lpad(F.col("position").cast("string"), 19, "0")
@@ -258,7 +258,7 @@ def provenance(
     # outputs and their manifests
     shared.append(file_entities(
         made, F.col("_file"), name=_j(o, " (universe ", u, ")"),
-        description=_j("output `", o, "` materialized under `", u, "`"), version=json_text(F.col("data_version")),
+        description=_j("output `", o, "` as made in universe `", u, "`"), version=json_text(F.col("data_version")),
     ))
     shared.append(file_entities(made, F.col("_sidecar")))
     edges += [edge(made, F.col("_file"), "subjectOf", F.col("_sidecar")), edge(made, F.col("_sidecar"), "about", F.col("_file"))]
@@ -313,7 +313,7 @@ def provenance(
     entities.append(entity(values, value, ["PropertyValue"], name=json_text(F.col("decision")), value=json_text(F.col("value"))))
     edges.append(edge(values.join(names, "decision", "left_semi"), value, "exampleOfWork", parameter))
     control = _text("#control-", u, "-", o)
-    entities.append(entity(made, control, ["ControlAction"], name=_j("orchestration of `", o, "` in universe `", u, "`")))
+    entities.append(entity(made, control, ["ControlAction"], name=_j("control of `", o, "` in universe `", u, "`")))
     edges += [edge(made, control, "instrument", step), edge(made, control, "object", action)]
 
     # runs and engines
@@ -328,10 +328,10 @@ def provenance(
     )
     entities.append(entity(
         runs, run, ["CreateAction"], name=_j(f"{project.run_label} at ", short),
-        description=_j("one materialization run, starting from commit ", F.when(sha == "", F.lit("(unrecorded)")).otherwise(sha)),
+        description=_j("a run that began at commit ", F.when(sha == "", F.lit("(unrecorded)")).otherwise(sha)),
         actionStatus=COMPLETED, startTime=json_text(F.col("start_time")), endTime=json_text(F.col("end_time")),
     ))
-    shared.append(entity(runs, organize, ["OrganizeAction"], name=_j("scheduling of the run at ", short)))
+    shared.append(entity(runs, organize, ["OrganizeAction"], name=_j("schedule of the run of ", short)))
     shared.append(entity(runs, engine, ["SoftwareApplication"], name=project.engine,
                            softwareVersion=json_text(F.nullif("lc_version", F.lit(""))),
                            url=F.when(engine != local_engine, json_text(engine))))

@@ -79,12 +79,10 @@ def resolve_targets(tasks: DataFrame, targets: DataFrame) -> tuple[DataFrame, Da
 
 
 def duplicate_universes(universes: DataFrame, on: Sequence[str] = ()) -> DataFrame:
-    """Universe ids that more than one file claims, naming the first and the last file."""
-    return (
-        universes.groupBy(*on, "universe_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("source_file").alias("first_file"), F.max("source_file").alias("last_file"))
-        .where("n > 1")
-    )
+    """Every file that claims a universe id which other files claim too, and how many claim it."""
+    key = [*on, "universe_id"]
+    claimed = universes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return universes.join(claimed, key).select(*key, "source_file", "n")
 
 
 def missing_formats(outputs: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def ambiguous_ids(spark, folder):
 
 
 #: Line items are workers that reported to the allocation of their order.
-DERIVED["reported"] = "SELECT 'id' || cast(l_orderkey AS string) AS id, l_linenumber FROM lineitem WHERE l_returnflag <> 'R'"
+DERIVED["reported"] = "SELECT 'id' || cast(l_orderkey AS string) AS id, l_linenumber FROM lineitem"
 
 
 @register("ready", """

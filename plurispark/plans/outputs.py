@@ -99,8 +99,8 @@ def unmatched_targets(spark, folder):
 
 
 @register("duplicate_universes", """
-SELECT c_nationkey AS project, c_mktsegment AS universe_id, count(*) AS n, min(c_name) AS first_file, max(c_name) AS last_file
-FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) > 1""")
+SELECT project, universe_id, source_file, n FROM (SELECT c_nationkey AS project, c_mktsegment AS universe_id, c_name AS source_file, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n
+  FROM customer) q WHERE n > 1""")
 def duplicate_universes(spark, folder):
     files = table(spark, folder, "customer").select(
         F.col("c_nationkey").alias("project"), F.col("c_mktsegment").alias("universe_id"), F.col("c_name").alias("source_file")

@@ -122,7 +122,7 @@ def non_default_groups(spark, folder):
 DERIVED["citations"] = """
 SELECT cast(l_orderkey AS string) AS analysis_id, CASE WHEN l_returnflag = 'N' THEN '10.1/Absent' || cast(l_partkey AS string) ELSE ' 10.48550/arXiv.' ||
   CASE WHEN l_partkey < 500 THEN 'hep-th/' || lpad(cast(l_partkey AS string), 7, '0') ELSE '2401.' || lpad(cast(l_partkey AS string), 5, '0') END END AS doi,
-  CASE WHEN l_quantity < 50 THEN l_linenumber - 1 END AS version FROM lineitem WHERE l_linestatus = 'F'"""
+  CASE WHEN l_quantity < 50 THEN l_linenumber - 1 END AS version FROM lineitem"""
 _REVISIONS = """
 SELECT doi, CASE WHEN NOT latest THEN v END AS version, 'https://arxiv.org/pdf/' || substr(doi, 16) || CASE WHEN latest THEN '' ELSE 'v' || cast(v AS string) END AS pdf_url
 FROM (SELECT lower(trim(doi)) AS doi, bool_or(version IS NULL OR version <= 0) AS latest, max(version) AS v FROM citations WHERE doi LIKE '%arXiv%' GROUP BY 1)"""

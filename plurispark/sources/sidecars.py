@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import sys
+import uuid
 from collections.abc import Iterable
 
 from pyspark import cloudpickle
@@ -41,10 +42,11 @@ class _Folders(InputPartition):
         self.folders, self.recursive = folders, recursive
 
 
-class _HiddenReader(DataSourceReader):
+class _FilesReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"].rstrip("/")
         self.suffix = options.get("suffix", "")
+        self.prefix = options.get("prefix", "")
 
     def partitions(self):
         from pyarrow import fs
@@ -64,29 +66,32 @@ class _HiddenReader(DataSourceReader):
                 fs.FileSelector(folder, recursive=partition.recursive, allow_not_found=True)
             )
             for info in found:
-                if info.type != fs.FileType.File or not info.base_name.startswith(".") or not info.base_name.endswith(self.suffix):
+                if info.type != fs.FileType.File or not info.base_name.startswith(self.prefix) or not info.base_name.endswith(self.suffix):
                     continue
                 with system.open_input_stream(info.path) as stream:
                     yield info.path, info.size, stream.read()
 
 
-class HiddenFiles(DataSource):
-    """``path, length, content`` of hidden files below a folder, optionally by suffix."""
+class AllFiles(DataSource):
+    """``path, length, content`` of every file below a folder, optionally by first and last characters of the name.
+
+    Spark's own readers pass over names and folders that start with ``.`` or ``_``; this one lists them all.
+    """
 
     @classmethod
     def name(cls):
-        return "hiddenfiles"
+        return "allfiles"
 
     def schema(self):
         return "path string, length bigint, content binary"
 
     def reader(self, schema):
-        return _HiddenReader(self.options)
+        return _FilesReader(self.options)
 
 
-def hidden_files(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
-    spark.dataSource.register(HiddenFiles)
-    return spark.read.format("hiddenfiles").option("suffix", suffix).load(root)
+def all_files(spark: SparkSession, root: str, prefix: str = "", suffix: str = "") -> DataFrame:
+    spark.dataSource.register(AllFiles)
+    return spark.read.format("allfiles").option("prefix", prefix).option("suffix", suffix).load(root)
 
 
 #: The keys a manifest must carry; the others have defaults.
@@ -113,16 +118,17 @@ def parse_manifests(texts: DataFrame, column: str = "text") -> DataFrame:
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """Every readable manifest below ``<root>/results``, with the sidecar's ``path``."""
-    files = hidden_files(spark, f"{root.rstrip('/')}/results", MANIFEST_SUFFIX)
+    files = all_files(spark, f"{root.rstrip('/')}/results", ".", MANIFEST_SUFFIX)
     return parse_manifests(files.select("path", F.col("content").cast("string").alias("text")))
 
 
 def _place(system, path: str, data: bytes) -> None:
     """Write whole or not at all: a temporary beside the target, then a rename."""
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(f"{path}.tmp") as stream:
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"  # a retried or speculative task writes a file of its own
+    with system.open_output_stream(temporary) as stream:
         stream.write(data)
-    system.move(f"{path}.tmp", path)
+    system.move(temporary, path)
 
 
 def write_manifests(manifests: DataFrame, root: str) -> None:

@@ -3,18 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from plurispark.sources.sidecars import hidden_files
+from plurispark.sources.sidecars import all_files
 
 
-def read_files(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
-    """``path, length, content`` of every file below *root*; hidden ones on request."""
-    plain = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select(F.regexp_replace("path", "^file:", "").alias("path"), "length", "content")
-    )
-    return plain.unionByName(hidden_files(spark, root)) if hidden else plain
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, length, content`` of every file below *root*, whatever its name or its folder's."""
+    return all_files(spark, root)
 
 
 def sink_results(df: DataFrame, root: str, format: str = "parquet") -> None:

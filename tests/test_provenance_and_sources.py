@@ -57,7 +57,7 @@ def test_an_output_is_one_file_and_siblings_stay(spark, tmp_path):
     sidecars.write_artifacts(rows, str(tmp_path))
     assert sorted(p.name for p in folder.iterdir()) == [".fit.manifest.json", "fit.h5", "fitter.csv"]
     assert (folder / "fit.h5").read_bytes() == b"new"
-    files = {r["path"].rsplit("/results/", 1)[1] for r in tables.read_files(spark, str(tmp_path), hidden=True).collect()}
+    files = {r["path"].rsplit("/results/", 1)[1] for r in tables.read_files(spark, str(tmp_path)).collect()}
     assert files == {"base/.fit.manifest.json", "base/fit.h5", "base/fitter.csv", "alt/fit.csv"}
 
 
