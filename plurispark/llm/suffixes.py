@@ -42,7 +42,8 @@ SPAN = SIZE - GRAM + 1
 #: Bytes on one side of the anchor on which two regions with a shared string agree at least.
 SIDE = (SIZE - GRAM + 1) // 2
 SHALLOW = 24
-GROUPS = 4
+#: Parts in which anchors meet, for each shuffle partition; texts have as many groups as there are partitions.
+GROUPS = 3
 #: Regions held by a task before they are handed out.
 FLUSH = 1_000_000
 
@@ -159,8 +160,8 @@ class _Outbox:
     entry for each kind of region in every hand-out, however many texts hold it.
     """
 
-    def __init__(self, parts: int):
-        self.parts, self.held, self.owners, self.ranks, self.found = parts, 0, [], [], []
+    def __init__(self, parts: int, groups: int):
+        self.parts, self.groups, self.held, self.owners, self.ranks, self.found = parts, groups, 0, [], [], []
 
     def add(self, owners: np.ndarray, ranks: np.ndarray, r: dict[str, np.ndarray]) -> None:
         self.found.append(r | {"text": r["text"] + sum(map(len, self.owners))})
@@ -171,7 +172,7 @@ class _Outbox:
     def hand_out(self) -> pa.RecordBatch:
         owners, ranks = np.concatenate(self.owners), np.concatenate(self.ranks)
         r = {k: np.concatenate([f[k] for f in self.found]) for k in self.found[0]}
-        self.__init__(self.parts)
+        self.__init__(self.parts, self.groups)
         kind = r["key"] * _power(5) + r["same"]
         order = np.lexsort((ranks[r["text"]], kind))
         k, rank = kind[order], ranks[r["text"]][order]
@@ -181,7 +182,7 @@ class _Outbox:
         stay = np.sort(order[rank == least])
         news = np.zeros(len(gone), _NEWS)
         news["owner"], news["nth"], news["verdict"] = owners[r["text"][gone]], r["nth"][gone], 1
-        rows = _news_rows(news, self.parts, self.parts)
+        rows = _news_rows(news, self.groups, self.parts)
         r = {k: v[stay] for k, v in r.items()}
         # A list of owners is numbered with 16 bits; long texts take several numbers.
         slot = r["text"] * (1 << 20) + (r["nth"] >> 16)
@@ -201,9 +202,9 @@ class _Outbox:
         return pa.RecordBatch.from_pydict(rows, schema=_MET)
 
 
-def sent_regions(texts: DataFrame, parts: int) -> DataFrame:
+def sent_regions(texts: DataFrame, parts: int, groups: int) -> DataFrame:
     def run(batches):
-        box = _Outbox(parts)
+        box = _Outbox(parts, groups)
         for batch in batches:
             owners, ranks = (np.asarray(batch.column(k)).astype("<i8") for k in ("_key", "_rank"))
             for at, data, offsets in slices(batch.column("_text")):
@@ -217,7 +218,7 @@ def sent_regions(texts: DataFrame, parts: int) -> DataFrame:
     return texts.select("_key", "_rank", "_text").mapInArrow(run, _MET_DDL)
 
 
-def met_regions(sent: DataFrame, parts: int) -> DataFrame:
+def met_regions(sent: DataFrame, parts: int, groups: int) -> DataFrame:
     """News for the texts, packed by their groups, from the regions of each anchor."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -260,7 +261,7 @@ def met_regions(sent: DataFrame, parts: int) -> DataFrame:
         keep = verdict > 0
         news = np.zeros(int(keep.sum()), _NEWS)
         news["owner"], news["nth"], news["verdict"] = who["owner"][keep], who["base"][keep] + body["nth"][keep], verdict[keep]
-        return pa.Table.from_pydict(_news_rows(news, parts, 0), schema=_MET)
+        return pa.Table.from_pydict(_news_rows(news, groups, 0), schema=_MET)
 
     return sent.groupBy("part").applyInArrow(run, _MET_DDL)
 
@@ -394,7 +395,7 @@ def deep_shallow(data: bytes, starts: np.ndarray, depth: int = SIZE) -> tuple[np
 _MASK = np.dtype([("owner", "<i8"), ("nth", "<u4"), ("bits", "<u8")])
 
 
-def sorted_rims(sent: DataFrame, parts: int) -> DataFrame:
+def sorted_rims(sent: DataFrame, groups: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         head = np.frombuffer(b"".join(table.column("owner").to_pylist()), _RIM)
         data = b"".join(table.column("body").to_pylist())
@@ -412,7 +413,7 @@ def sorted_rims(sent: DataFrame, parts: int) -> DataFrame:
         hit = np.flatnonzero(bits)
         masks = np.zeros(len(hit), _MASK)
         masks["owner"], masks["nth"], masks["bits"] = head["owner"][hit], head["nth"][hit], bits[hit]
-        return pa.Table.from_pydict(_news_rows(masks, parts, 0), schema=_MET)
+        return pa.Table.from_pydict(_news_rows(masks, groups, 0), schema=_MET)
 
     return sent.groupBy("part").applyInArrow(run, _MET_DDL)
 
@@ -457,7 +458,8 @@ def cut_texts(texts: DataFrame) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
     """Per row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and the ``kept`` bytes)."""
-    parts = GROUPS * shuffle_partitions(docs.sparkSession)
+    groups = shuffle_partitions(docs.sparkSession)
+    parts = GROUPS * groups
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(id).alias("_id"), t.alias("_text"), F.xxhash64(t, F.reverse(t)).alias("_key"))
     ids = stage(keyed.select("_id", "_key", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("_sha")))
@@ -467,9 +469,9 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", with_k
     rows = keyed.where("_id IS NOT NULL")
     single = rows.join(broadcast_if_small(repeats), (rows["_id"] == F.col("_i")) & (rows["_key"] == F.col("_k")), "left_anti")
     texts = single.select("_key", F.col("_id").cast("long").alias("_rank"), "_text")
-    news = stage(_by_owner(met_regions(sent_regions(texts, parts), parts), _NEWS, "news"))
+    news = stage(_by_owner(met_regions(sent_regions(texts, parts, groups), parts, groups), _NEWS, "news"))
     told = texts.join(news, F.col("_key") == F.col("owner"))
-    masks = _by_owner(sorted_rims(sent_rims(told, parts), parts), _MASK, "masks").withColumnRenamed("owner", "_o")
+    masks = _by_owner(sorted_rims(sent_rims(told, parts), groups), _MASK, "masks").withColumnRenamed("owner", "_o")
     cut = cut_texts(texts.join(news.join(masks, F.col("owner") == F.col("_o"), "left"), F.col("_key") == F.col("owner")))
     if not with_kept:
         cut = cut.drop("kept")
