@@ -44,8 +44,8 @@ from plurispark.session import broadcast_if_small, is_empty, stage
 ORDERS = 3
 #: Shingles held by a task before it hands out packed columns.
 FLUSH = 2_000_000
-#: Groups for each shuffle partition; a group's columns are held by one task at a time.
-GROUPS = 4
+#: Parts in which shingles meet, for each shuffle partition; sets have as many groups as there are partitions.
+GROUPS = 3
 STAR_ROUNDS = 2
 #: Bytes of a shingle's hash that travel; the part it travels to tells further bits.
 WIDTH = 5
@@ -104,7 +104,7 @@ def _slices(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def _dealt(sets: list[np.ndarray], keys: list[int], parts: int) -> pa.RecordBatch:
+def _dealt(sets: list[np.ndarray], keys: list[int], parts: int, groups: int) -> pa.RecordBatch:
     """One row for each part: owners, how many shingles each has here, and the shingles.
 
     Further rows, numbered from *parts* on, give each owner's group the size of its set.
@@ -119,14 +119,14 @@ def _dealt(sets: list[np.ndarray], keys: list[int], parts: int) -> pa.RecordBatc
         a, b = cuts[p], cuts[p + 1]
         who, count = np.unique(of[a:b], return_counts=True)
         _row(rows, p, p, owner[who], count, _narrow(values[a:b]))
-    order, cuts = _slices(_group(owner, parts), parts)
+    order, cuts = _slices(_group(owner, groups), groups)
     for g in np.flatnonzero(np.diff(cuts)):
         at = order[cuts[g] : cuts[g + 1]]
         _row(rows, parts + g, parts, owner[at], size[at])
     return pa.RecordBatch.from_pydict(rows, schema=_PACKED)
 
 
-def packed_shingles(docs: DataFrame, n: int, parts: int) -> DataFrame:
+def packed_shingles(docs: DataFrame, n: int, parts: int, groups: int) -> DataFrame:
     def run(batches):
         sets, keys, held = [], [], 0
         for batch in batches:
@@ -135,10 +135,10 @@ def packed_shingles(docs: DataFrame, n: int, parts: int) -> DataFrame:
                 keys.append(key)
                 held += len(s) + 1
                 if held >= FLUSH:
-                    yield _dealt(sets, keys, parts)
+                    yield _dealt(sets, keys, parts, groups)
                     sets, keys, held = [], [], 0
         if sets:
-            yield _dealt(sets, keys, parts)
+            yield _dealt(sets, keys, parts, groups)
 
     return docs.select("_key", "_text").mapInArrow(run, _PACKED_DDL)
 
@@ -147,7 +147,7 @@ def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def shared_shingles(packed: DataFrame, parts: int) -> DataFrame:
+def shared_shingles(packed: DataFrame, parts: int, groups: int) -> DataFrame:
     """Of each part the shingles that two or more sets hold, packed for their owners' groups with their numbers of holders."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -170,9 +170,9 @@ def shared_shingles(packed: DataFrame, parts: int) -> DataFrame:
         keep = holders > 1
         owner, value = owner[keep], value[keep]
         rank = np.minimum(np.log2(holders[keep]) * 6, 255).astype(np.uint8)
-        order = np.lexsort((owner, _group(owner, parts)))
+        order = np.lexsort((owner, _group(owner, groups)))
         owner, value, rank = owner[order], value[order], rank[order]
-        cuts = np.searchsorted(_group(owner, parts), np.arange(parts + 1))
+        cuts = np.searchsorted(_group(owner, groups), np.arange(groups + 1))
         for g in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[g], cuts[g + 1]
             who, count = np.unique(owner[a:b], return_counts=True)
@@ -302,8 +302,9 @@ def jaccard_join(docs: DataFrame, n: int, percent: int, id: str = "doc_id", text
     single = keyed.alias("k").join(
         broadcast_if_small(repeats).alias("r"),
         F.col("k._id").eqNullSafe(F.col("r._id")) & (F.col("k._key") == F.col("r._key")), "left_anti")
-    parts = GROUPS * shuffle_partitions(spark)
-    everything = stage(candidates(shared_shingles(packed_shingles(single, n, parts), parts), percent, parts))
+    groups = shuffle_partitions(spark)
+    parts = GROUPS * groups
+    everything = stage(candidates(shared_shingles(packed_shingles(single, n, parts, groups), parts, groups), percent, parts))
     sets = everything.where("shared IS NOT NULL")
     out = ids.join(everything.select(F.col("key").alias("_key"), F.col("n").alias("n_shingles")), "_key")
     if is_empty(sets):
