@@ -356,6 +356,23 @@ def blind_trie(data: bytes, starts: list[int], known: int, depth: int) -> list[l
     return out
 
 
+def _word(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes as one number that compares like them."""
+    word = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        word = word << np.uint64(8) | raw[at + k]
+    return word
+
+
+def _pairs(raw: np.ndarray, x: np.ndarray, y: np.ndarray, depth: int) -> np.ndarray:
+    """-1, 0 or 1 for each two suffixes that agree on SHALLOW bytes: tries of two leaves, all at once."""
+    sign = np.zeros(len(x), np.int8)
+    for at in (*range(SHALLOW, depth - 8, 8), depth - 8):
+        a, b = _word(raw, x + at), _word(raw, y + at)
+        sign = np.where(sign == 0, (a > b).astype(np.int8) - (a < b).astype(np.int8), sign)
+    return sign
+
+
 def deep_shallow(data: bytes, starts: np.ndarray, depth: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """*starts* in the order of their first *depth* bytes, and whether each equals the one before."""
     raw = np.frombuffer(data + bytes(8), np.uint8)
@@ -364,10 +381,7 @@ def deep_shallow(data: bytes, starts: np.ndarray, depth: int = SIZE) -> tuple[np
     for at in range(0, SHALLOW, 8):
         if not len(tied):
             break
-        s = starts[order[tied]] + at
-        word = np.zeros(len(s), np.uint64)
-        for k in range(8):
-            word = word << np.uint64(8) | raw[s + k]
+        word = _word(raw, starts[order[tied]] + at)
         o = np.lexsort((word, head[tied]))
         order[tied] = order[tied][o]
         word, group = word[o], head[tied]
@@ -379,7 +393,14 @@ def deep_shallow(data: bytes, starts: np.ndarray, depth: int = SIZE) -> tuple[np
     equal = np.zeros(len(starts), bool)
     if len(tied):
         first = np.flatnonzero(np.concatenate(([True], head[tied][1:] != head[tied][:-1])))
-        for a, b in zip(first, np.append(first[1:], len(tied))):
+        after = np.append(first[1:], len(tied))
+        two = tied[first[after - first == 2]]
+        sign = _pairs(raw, starts[order[two]], starts[order[two + 1]], depth)
+        swap = two[sign > 0]
+        order[swap], order[swap + 1] = order[swap + 1], order[swap].copy()
+        equal[two[sign == 0] + 1] = True
+        more = after - first > 2
+        for a, b in zip(first[more], after[more]):
             places = tied[a:b]
             members = order[places]
             where = dict(zip(starts[members].tolist(), members.tolist()))
