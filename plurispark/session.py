@@ -15,13 +15,17 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app: str = "plurispark", cores: str | None = None) -> SparkSession:
-    """A session with the settings the operators assume; a cluster's own win."""
+    """A session with the settings the operators assume.
+
+    Where a master is configured (a submitted job), it and its number of shuffle
+    partitions stay as they are; otherwise the session runs on this machine.
+    """
     cores = cores or os.environ.get("BENCH_CPUS") or "8"
+    builder = SparkSession.builder.appName(app)
+    if not _submitted():
+        builder = builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", cores)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", cores)
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -32,6 +36,12 @@ def build_session(app: str = "plurispark", cores: str | None = None) -> SparkSes
     )
 
 
+def _submitted() -> bool:
+    """Whether the process was started with a master of its own."""
+    given = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    return "--master" in given or bool(os.environ.get("MASTER") or os.environ.get("SPARK_REMOTE")) or SparkSession.getActiveSession() is not None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
