@@ -418,42 +418,64 @@ def action_objects(
 
 # --- export --------------------------------------------------------------------
 
-#: A reference list longer than this is written as several objects with the same id.
-REFS_PER_OBJECT = 10_000
+#: The format of the exported document.
+CRATE = "https://w3id.org/ro/crate/1.1"
+CONTEXTS = (f"{CRATE}/context", "https://w3id.org/ro/terms/workflow-run")
+DESCRIPTOR = "ro-crate-metadata.json"
+
+
+def with_root(entities: DataFrame, edges: DataFrame, spec_file: str) -> tuple[DataFrame, DataFrame]:
+    """Add what makes entities a document: its descriptor, and the root's main entity and parts (every file)."""
+    one = entities.sparkSession.range(1)
+    about = entity(one, F.lit(DESCRIPTOR), ["CreativeWork"])
+    files = entities.where(F.array_contains("types", "File")).select("id").distinct()
+    links = [
+        edge(one, F.lit(DESCRIPTOR), "about", F.lit("./")), edge(one, F.lit(DESCRIPTOR), "conformsTo", F.lit(CRATE)),
+        edge(one, F.lit("./"), "mainEntity", F.lit(spec_file)), edge(files, F.lit("./"), "hasPart", F.col("id"), F.col("id")),
+    ]
+    return entities.unionByName(about), functools.reduce(DataFrame.unionByName, links, edges)
 
 
-def document(entities: DataFrame, edges: DataFrame, refs: int = REFS_PER_OBJECT) -> DataFrame:
-    """The ``@graph`` as rows ``id, chunk, json``: one object per entity, keys sorted.
+def document(entities: DataFrame, edges: DataFrame, spec_file: str = "analysis.yaml") -> DataFrame:
+    """The whole JSON-LD document as fragments ``id, key, ord, before, text, after``.
 
-    A single reference is written as itself, several as a list in order. Lists
-    beyond *refs* continue in further objects with the same ``@id``, which JSON-LD
-    merges; so no object grows with the data. Nothing reads the clock.
+    In the order of ``id, key, ord`` the fragments (``before``, ``text`` and ``after`` of each)
+    are the document: one object for each id, its keys sorted, a single
+    reference as itself and several as a list in order. A reference is a
+    fragment of its own, so nothing ever holds a list, however long. Nothing
+    reads the clock.
     """
-    # Only lists beyond one object need to know their length: few rows, however hot.
-    long = edges.groupBy("src", "predicate").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > refs)
-    chunk = F.pmod(F.xxhash64("dst"), F.ceil(F.col("_n") / F.lit(refs)))
-    placed = edges.join(long, ["src", "predicate"], "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)).cast("int"))
-    ref = lambda e: F.concat(F.lit('{"@id":'), json_text(e["dst"]), F.lit("}"))
-    lists = placed.groupBy("src", "chunk", "predicate").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "dst"))).alias("_refs")
-    ).select(
-        F.col("src").alias("id"), "chunk", F.col("predicate").alias("key"),
-        F.when(F.size("_refs") == 1, ref(F.col("_refs")[0]))
-        .otherwise(F.concat(F.lit("["), F.array_join(F.transform("_refs", ref), ","), F.lit("]"))).alias("value"),
-    )
+    entities, edges = with_root(entities, edges, spec_file)
     types = F.when(F.size("types") == 1, json_text(F.col("types")[0])).otherwise(F.to_json("types"))
     literals = entities.select(
-        "id", F.lit(0).alias("chunk"),
-        F.explode(F.map_concat(F.create_map(F.lit("@type"), types), F.col("props"))).alias("key", "value"),
-    )
-    every = literals.unionByName(lists)
-    identity = every.select("id", "chunk").distinct().select("id", "chunk", F.lit("@id").alias("key"), json_text(F.col("id")).alias("value"))
-    return (
-        every.unionByName(identity).groupBy("id", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("_p"))
-        .select("id", "chunk", F.concat(
-            F.lit("{"),
-            F.array_join(F.transform("_p", lambda p: F.concat(json_text(p["key"]), F.lit(":"), p["value"])), ","),
-            F.lit("}"),
-        ).alias("json"))
+        "id", F.explode(F.map_concat(F.create_map(F.lit("@type"), types), F.col("props"))).alias("key", "value"),
+    ).select("id", "key", F.lit("").alias("ord"), F.concat(F.lit(","), json_text(F.col("key")), F.lit(":")).alias("before"), F.col("value").alias("text"), F.lit("").alias("after"))
+    place = F.concat("ord", F.lit("\u0000"), "dst")
+    placed = edges.select("src", "predicate", place.alias("ord"), "dst").distinct()
+    ends = placed.groupBy("src", "predicate").agg(F.min("ord").alias("_lo"), F.max("ord").alias("_hi"))
+    several, first, last = F.col("_lo") < F.col("_hi"), F.col("ord") == F.col("_lo"), F.col("ord") == F.col("_hi")
+    opening = F.concat(F.lit(","), json_text(F.col("predicate")), F.lit(":"), F.when(several, F.lit("[")).otherwise(F.lit("")))
+    references = placed.join(ends, ["src", "predicate"]).select(
+        F.col("src").alias("id"), F.col("predicate").alias("key"), "ord", F.when(first, opening).otherwise(F.lit(",")).alias("before"),
+        F.concat(F.lit('{"@id":'), json_text(F.col("dst")), F.lit("}")).alias("text"),
+        F.when(last & several, F.lit("]")).otherwise(F.lit("")).alias("after"),
     )
+    every = literals.unionByName(references)
+    ids = every.select("id").distinct()
+    blank = F.lit("").alias("ord")
+    heads = ids.select("id", F.lit("").alias("key"), blank, F.when(F.col("id") == DESCRIPTOR, F.lit("{")).otherwise(F.lit(",{")).alias("before"),
+                       F.concat(F.lit('"@id":'), json_text(F.col("id"))).alias("text"), F.lit("").alias("after"))
+    tails = ids.select("id", F.lit("\uffff").alias("key"), blank, F.lit("").alias("before"), F.lit("").alias("text"), F.lit("}").alias("after"))
+    one = entities.sparkSession.range(1)
+    context = ",".join(f'"{c}"' for c in CONTEXTS)
+    start = one.select(F.lit("").alias("id"), F.lit("").alias("key"), blank, F.lit('{"@context":[').alias("before"), F.lit(context).alias("text"), F.lit('],"@graph":[').alias("after"))
+    end = one.select(F.lit("\uffff").alias("id"), F.lit("").alias("key"), blank, F.lit("").alias("before"), F.lit("").alias("text"), F.lit("]}").alias("after"))
+    # The descriptor comes first: its place is before every other id.
+    rows = functools.reduce(DataFrame.unionByName, [every, heads, tails, start, end])
+    return rows.select(F.when(F.col("id") == DESCRIPTOR, F.lit("\u0001")).otherwise(F.col("id")).alias("id"), "key", "ord", "before", "text", "after")
+
+
+def write_document(fragments: DataFrame, path: str) -> None:
+    """Range-sort the fragments and write them as text; the files in name order are the document."""
+    ordered = fragments.sort("id", "key", "ord")
+    ordered.select(F.concat("before", "text", "after")).write.mode("overwrite").option("lineSep", "\n").text(path)

@@ -25,7 +25,7 @@ def test_query_matches_its_oracle(spark, con, name):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"prov_document"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_point(spark):
