@@ -96,8 +96,9 @@ def find_leaks(
     wanted = items.where(F.col(item).isNotNull()).select(F.col(item).alias("_item"), words(F.col(item_text)).alias("_w")).where(F.size("_w") >= n)
     wanted = stage(wanted.select("_item", F.size("_w").alias("_len"), shingles(F.col("_w"), n).alias("_hi")).distinct())
     lengths = broadcast_if_small(wanted.select(F.explode_outer("_hi").alias("_h"), "_len").distinct())
-    slim = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("_id"), words(F.col(text)).alias("_w")).where(F.size("_w") >= n)
-    hashed = slim.select("_id", F.size("_w").alias("_n"), shingles(F.col("_w"), n).alias("_hd"))
+    slim = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    worded = slim.select("_id", words(F.col("_text")).alias("_w"))
+    hashed = worded.select("_id", F.size("_w").alias("_n"), shingles(F.col("_w"), n).alias("_hd"))
 
     # The outer form: for the inner one a filter on the array is inferred, which splits the text anew for each word.
     seeds = hashed.select("_id", "_n", F.posexplode_outer("_hd").alias("_pos", "_h")).join(lengths, "_h").select("_id", "_n", "_pos", "_len")
@@ -115,7 +116,10 @@ def find_leaks(
     windows = stage(found.select("_id", "_n", "_len", F.array_distinct(F.flatten(ranges)).alias("_starts")))
 
     per_doc = windows.groupBy("_id").agg(F.collect_list(F.struct("_n", "_len", "_starts")).alias("_windows"))
-    again = hashed.join(broadcast_if_small(per_doc), "_id").withColumn("_win", F.explode("_windows")).where("_win._n = _n")
+    # Only the few texts that have windows are hashed once more.
+    again = slim.join(broadcast_if_small(per_doc), "_id").select("_id", "_windows", words(F.col("_text")).alias("_w"))
+    again = again.select("_id", "_windows", F.size("_w").alias("_n"), shingles(F.col("_w"), n).alias("_hd"))
+    again = again.withColumn("_win", F.explode_outer("_windows")).where("_win._n = _n")
     cut = again.select("_id", "_hd", F.col("_win._len").alias("_len"), F.explode("_win._starts").alias("_start"), "_n")
     cut = stage(cut.select("_id", "_n", "_len", "_start", F.slice(
         "_hd", F.col("_start") + 1, F.least("_len", "_n") - (n - 1)).alias("_hw")).distinct())
@@ -125,7 +129,8 @@ def find_leaks(
     asked = marked.select("_window", "_len", F.col("fp").alias("_fw"), F.explode(blocks).alias("_block")).select(
         "_window", "_len", "_fw", F.col("_block.b").alias("_b"), F.col("_block.v").alias("_value"))
     filed = near_blocks(fingerprints(wanted, ["_item", "_len", "_hi"], "_hi").select("_item", "_len", "fp"), radius).withColumnRenamed("fp", "_fi")
-    met = asked.join(filed, ["_len", "_b", "_value"]).withColumn("hamming", F.bit_count(F.col("_fw").bitwiseXOR(F.col("_fi"))))
+    # Each item is filed thousands of times, which a plan's size estimate does not see: no broadcast.
+    met = asked.join(filed.hint("merge"), ["_len", "_b", "_value"]).withColumn("hamming", F.bit_count(F.col("_fw").bitwiseXOR(F.col("_fi"))))
     met = met.where(F.col("hamming") <= radius).select("_window", "_item", "hamming").distinct()
     pairs = met.join(marked, "_window").join(broadcast_if_small(wanted.select("_item", "_hi")), "_item")
     pairs = pairs.withColumn("_shared", shared_weight(F.col("_hw"), F.col("_hi")))
