@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plurispark.functions import records
 from plurispark.operators import history, spec, status
 from plurispark.plans.registry import DERIVED, register, table
+from plurispark.session import shared_folder
 from plurispark.sources import changelog
 
 KEY = ["universe_id", "output_id"]
@@ -354,6 +357,18 @@ def last_writer(spark, folder):
     return _last(spark, folder)
 
 
+@register("change_log_round_trip", f"SELECT universe_id, output_id, sha, subject, author, date FROM ({_LAST})")
+def change_log_round_trip(spark, folder):
+    """The change log written as a tool prints it, read back, and asked for the last writers."""
+    commits, touched, groups = (table(spark, folder, n) for n in ("commits", "commit_paths", "write_groups"))
+    record = F.concat_ws("\u0000", "sha", "subject", "author", F.lit(""), "date")
+    text = commits.join(touched, "seq").select(F.concat(record, F.lit("\n"), "path").alias("value"), "seq")
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    text.sort(F.col("seq").desc()).select("value").write.text(path)
+    found = history.last_writer(*changelog.read_change_log(spark, path), groups, KEY)
+    return found.select(*KEY, "sha", "subject", "author", "date")
+
+
 @register("foreign_writes", f"SELECT * FROM ({_LAST}) WHERE subject = 'tweak colors'")
 def foreign_writes(spark, folder):
     tasks = table(spark, folder, "write_groups").select(*KEY).distinct()

@@ -70,9 +70,13 @@ def test_result_tables_replace_only_their_own(spark, tmp_path):
 
 
 def test_change_logs(spark, tmp_path):
-    (tmp_path / "log").write_text("h1\0subject | x\0Ada\0ada@example.org\x002026-01-01\nh2\0cut short\n\n")
-    assert [tuple(r) for r in changelog.read_change_log(spark, str(tmp_path / "log")).collect()] == [("h1", "subject | x", "Ada", "ada@example.org", "2026-01-01")]
-    assert changelog.read_change_log(spark, str(tmp_path / "absent")).count() == 0
+    (tmp_path / "log").write_text("h2\0newer\0Bo\0\x002026-01-02\n\nb.txt\na.txt\nh1\0subject | x\0Ada\0ada@example.org\x002026-01-01\na.txt\nh0\0no paths\0Ada\0\x002026-01-01\n")
+    commits, touched = changelog.read_change_log(spark, str(tmp_path / "log"))
+    assert sorted(tuple(r) for r in commits.collect()) == [
+        (0, "h0", "no paths", "Ada", "", "2026-01-01"), (1, "h1", "subject | x", "Ada", "ada@example.org", "2026-01-01"), (2, "h2", "newer", "Bo", "", "2026-01-02")]
+    assert sorted(tuple(r) for r in touched.collect()) == [(1, "a.txt"), (2, "a.txt"), (2, "b.txt")]
+    commits, touched = changelog.read_change_log(spark, str(tmp_path / "absent"))
+    assert commits.count() == touched.count() == 0
 
 
 @pytest.fixture(scope="module")
