@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plurispark.session import broadcast_if_small
+from plurispark.session import broadcast_if_small, small
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,20 @@ def _kept(keep: Keep, prefix: str) -> Column:
     return F.array_compact(F.array(*flags))
 
 
+def unknown_choices(universes: DataFrame, declared: Sequence[Keep | Value]) -> DataFrame:
+    """``universe_id, decision, option`` of every choice that nobody declared; a missing choice has a NULL option."""
+    known = F.array(*[
+        F.struct(F.lit(d.decision).alias("decision"), F.array(*[F.lit(o) for o in d.options]).alias("options")) for d in declared
+    ])
+    asked = universes.select("universe_id", F.coalesce("decisions", F.create_map().cast("map<string,string>")).alias("_d"))
+    wrong = asked.select("universe_id", F.explode(known).alias("_k"), "_d").select(
+        "universe_id", F.col("_k.decision").alias("decision"), F.try_element_at("_d", F.col("_k.decision")).alias("option"), F.col("_k.options").alias("_o"),
+    ).where(~F.coalesce(F.array_contains("_o", F.col("option")), F.lit(False))).drop("_o")
+    names = F.array(*[F.lit(d.decision) for d in declared])
+    extra = asked.select("universe_id", F.explode("_d").alias("decision", "option")).where(~F.array_contains(names, F.col("decision")))
+    return wrong.union(extra)
+
+
 def multiverse(
     data: DataFrame,
     universes: DataFrame,
@@ -72,7 +86,9 @@ def multiverse(
     *universes* has ``universe_id`` and ``decisions map<string,string>``. One
     partial and one final aggregation run over the data; what follows works on
     cells, at most ``groups * 2**options`` rows. Without *by*, a universe that
-    keeps no row is still reported, with a count of zero.
+    keeps no row is still reported, with a count of zero. A universe without a
+    declared option for one of these decisions is not evaluated; see
+    :func:`unknown_choices`. Only options that some universe takes are expanded.
     """
     values = list({m.of.decision: m.of for m in measures.values() if isinstance(m.of, Value)}.values())
 
@@ -97,6 +113,12 @@ def multiverse(
             for kind in _PARTIALS[measure.kind]:
                 partials.append(_FIRST[kind](f"_v{m}_{o}").alias(f"_p{m}_{o}_{kind}"))
 
+    declared = [*keeps, *values]
+    valid = functools.reduce(
+        lambda a, b: a & b,
+        (F.coalesce(F.col("decisions")[d.decision].isin(*d.options), F.lit(False)) for d in declared), F.lit(True))
+    chosen = universes.where(valid).select("universe_id", *[F.col("decisions")[d.decision].alias(f"_d_{d.decision}") for d in declared])
+
     narrow = data.select(*by, *flags, *inputs)
     if names:  # a row no option keeps takes part in no universe
         for k, keep in enumerate(keeps):
@@ -105,9 +127,17 @@ def multiverse(
             )
     cells = narrow.groupBy(*by, *names).agg(*partials)
 
-    # Cells become arms: one row per combination of options, by equality alone.
+    # Cells become arms decision by decision; after each, only prefixes of choices that occur stay,
+    # so there are never more arms for a cell than there are distinct choices.
+    choices = chosen.drop("universe_id").distinct()
+    hint = F.broadcast if declared and small(choices) else lambda df: df
+
+    def occurring(rows: DataFrame, upto: int) -> DataFrame:
+        prefix = [f"_d_{d.decision}" for d in declared[:upto]]
+        return rows.join(hint(choices.select(*prefix).distinct()), prefix, "left_semi")
+
     for k, keep in enumerate(keeps):
-        cells = cells.withColumn(f"_d_{keep.decision}", F.explode(_kept(keep, f"_k{k}_")))
+        cells = occurring(cells.withColumn(f"_d_{keep.decision}", F.explode(_kept(keep, f"_k{k}_"))), k + 1)
     for v, value in enumerate(values):
         arms = [
             F.struct(
@@ -122,7 +152,7 @@ def multiverse(
             for o, option in enumerate(value.options)
         ]
         cells = cells.withColumn(f"_a{v}", F.explode(F.array(*arms)))
-        cells = cells.withColumn(f"_d_{value.decision}", F.col(f"_a{v}.option"))
+        cells = occurring(cells.withColumn(f"_d_{value.decision}", F.col(f"_a{v}.option")), len(keeps) + v + 1)
     for m, measure in enumerate(measures.values()):
         for kind in _PARTIALS[measure.kind]:
             source = (
@@ -134,9 +164,6 @@ def multiverse(
     decisions = [d.decision for d in (*keeps, *values)]
     arms = cells.groupBy(*by, *[f"_d_{d}" for d in decisions]).agg(*folds)
 
-    chosen = universes.select(
-        "universe_id", *[F.col("decisions")[d].alias(f"_d_{d}") for d in decisions]
-    )
     joined = chosen.join(arms, [f"_d_{d}" for d in decisions], "inner" if by else "left")
 
     columns: list[Column] = []

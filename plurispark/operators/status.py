@@ -166,13 +166,21 @@ def would_run(
     """Every task's verdict when upstreams that would run are taken to change.
 
     A NULL input can only turn a task stale, so the walk needs no order: what
-    needs remaking on its own is found first, everything downstream of it is
-    reached over the edges, and one more classification explains them all.
+    needs remaking on its own is found first and everything downstream of it is
+    reached over the edges. Only tasks right below a running one are classified
+    once more, with those inputs unknown; the first verdict stands for the others.
     """
-    alone = classify(tasks, predicted_inputs(task_inputs, manifests, files), manifests, foreign, recorded)
+    alone = stage(classify(tasks, predicted_inputs(task_inputs, manifests, files), manifests, foreign, recorded))
     seeds = stage(alone.where(remake(F.col("status"), refresh)).select(*KEY))
-    running = graph.dependents(edges_of(task_inputs), seeds)
-    verdicts = classify(tasks, predicted_inputs(task_inputs, manifests, files, running), manifests, foreign, recorded)
+    running = stage(graph.dependents(edges_of(task_inputs), seeds).select(*KEY))
+    upstream = running.withColumnRenamed("output_id", "produced_by")
+    touched = stage(task_inputs.where("produced_by IS NOT NULL").join(upstream, ["universe_id", "produced_by"], "left_semi").select(*KEY).distinct())
+    only = lambda df: df.join(touched, KEY, "left_semi")
+    again = classify(
+        only(tasks), predicted_inputs(only(task_inputs), manifests, files, running), only(manifests), foreign,
+        None if recorded is None else only(recorded),
+    )
+    verdicts = alone.join(touched, KEY, "left_anti").unionByName(again)
     return verdicts.withColumn("would_run", remake(F.col("status"), refresh))
 
 
@@ -191,7 +199,7 @@ def settle(
     otherwise it is classified with live digests, so a byte-identical rebuild
     stops the cascade. *attempts* says what executing a task gives: ``ok`` and
     ``new_version``. ``blocked_by`` is the first upstream that did not finish and
-    ``n_blocking`` their number.
+    ``n_blocking`` their number; :func:`blockers` names them all.
     """
     ranked = graph.task_order(edges_of(task_inputs), tasks)
     depth = ranked.agg(F.max("level")).first()[0]
@@ -252,6 +260,16 @@ def settle(
     return settled
 
 
+def blockers(task_inputs: DataFrame, settled: DataFrame) -> DataFrame:
+    """Every upstream that blocks a blocked task: ``universe_id, output_id, blocked_by``."""
+    outcomes = settled.select(*KEY, "outcome")
+    held = task_inputs.where("produced_by IS NOT NULL").select(*KEY, "produced_by").distinct().join(
+        outcomes.where("outcome = 'blocked'").select(*KEY), KEY, "left_semi")
+    above = outcomes.select("universe_id", F.col("output_id").alias("produced_by"), F.col("outcome").alias("_up"))
+    return held.join(above, ["universe_id", "produced_by"], "left").where(
+        ~F.coalesce(usable(F.col("_up")), F.lit(False))).select(*KEY, F.col("produced_by").alias("blocked_by"))
+
+
 def task_outcome(exit_code: Column, env: Column, env_before: Column, env_after: Column, found: Column, recordable: Column) -> Column:
     """``struct<outcome,reason>`` of one execution, its checks in the order a worker makes them."""
     reason = (

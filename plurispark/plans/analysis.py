@@ -99,6 +99,20 @@ def multiverse_query(spark, folder):
     return flagship(spark, folder)
 
 
+#: Parts as universes: most name an option nobody declared, or leave one out.
+@register("unknown_choices", """
+WITH u AS (SELECT p_partkey AS universe_id, CASE WHEN p_size < 40 THEN 'recent' ELSE 'late' END AS date_cut, CASE WHEN p_type <> 'PROMO' THEN 'keep' END AS returns, CASE WHEN p_brand = 'Brand#1' THEN p_type END AS extra FROM part)
+SELECT universe_id, 'date_cut' AS decision, date_cut AS option FROM u WHERE date_cut = 'late'
+UNION ALL SELECT universe_id, 'returns', NULL FROM u WHERE returns IS NULL UNION ALL SELECT universe_id, 'extra', extra FROM u WHERE extra IS NOT NULL""")
+def unknown_choices(spark, folder):
+    part = table(spark, folder, "part")
+    given = F.create_map(
+        F.lit("date_cut"), F.when(F.col("p_size") < 40, "recent").otherwise("late"), F.lit("returns"), F.when(F.col("p_type") != "PROMO", "keep"),
+        F.lit("extra"), F.when(F.col("p_brand") == "Brand#1", F.col("p_type")))
+    universes = part.select(F.col("p_partkey").alias("universe_id"), F.map_filter(given, lambda k, v: v.isNotNull()).alias("decisions"))
+    return mv.unknown_choices(universes, [mv.Keep("date_cut", {"none": F.lit(True), "recent": F.lit(True)}), mv.Keep("returns", {"keep": F.lit(True), "drop": F.lit(True)})])
+
+
 @register("multiverse_by_status", f"""
 SELECT u.universe_id, l.l_linestatus, {_MEASURES_SQL} {_ARMS_SQL} GROUP BY u.universe_id, l.l_linestatus""")
 def multiverse_by_status(spark, folder):

@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 #: Conditions the smallest tables happen not to meet.
 MAY_BE_EMPTY = {"unusable_workers", "unresolved_inputs", "find_cycles", "foreign_writes", "missing_formats", "non_default_groups",
-                "lock_audit", "shared_capacity", "match_offer", "duplicate_universes", "lineage"}
+                "lock_audit", "settle_blockers", "shared_capacity", "match_offer", "duplicate_universes", "lineage"}
 
 
 @pytest.fixture(scope="module")
