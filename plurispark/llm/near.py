@@ -11,8 +11,8 @@ sets share one among the first ``n - ceil(percent * n / 100) + 1`` members: thei
 2. Each order ranks rarer shingles first (that is where few sets meet) and breaks ties by
    a hash of its own. Sets that share a prefix shingle of the first order meet; those
    that share none under some other order are dropped, and only the rest are verified.
-   Shingles that no other set holds also bound the overlap itself: it is at most the smaller
-   number of shared shingles of the two, and of the smaller set a shorter prefix will do.
+   Shingles that no other set holds also bound the overlap itself, and so does the place of
+   the first shingle that two sets share: what comes before it is in one of them only.
 3. Meeting is done in rounds. First every set meets one leader, the set with the fewest
    unshared shingles on its posting lists; that is one pair a set and merges groups
    of copies. Then the sets of a list that are in different components and within those
@@ -192,10 +192,9 @@ def _prefixes(value: np.ndarray, rank: np.ndarray, take: int) -> list[np.ndarray
 
 
 def candidates(shared: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Every set's ``key`` and ``n``; those that may link also have their number ``s`` of ``shared`` shingles, a prefix for
-    each order, and ``short``: how much of the first prefix is enough when the partner is no smaller."""
+    """Every set's ``key`` and ``n``; those that may link also have their number ``s`` of ``shared`` shingles and a prefix for each order."""
     names = [f"prefix{k}" for k in range(ORDERS)]
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("short", pa.int64()), ("shared", pa.binary()), *((p, pa.list_(pa.int64())) for p in names)])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("shared", pa.binary()), *((p, pa.list_(pa.int64())) for p in names)])
 
     def run(table: pa.Table) -> pa.Table:
         origin = np.asarray(table.column("origin"))
@@ -210,18 +209,16 @@ def candidates(shared: DataFrame, percent: int, parts: int) -> DataFrame:
         first, last = np.searchsorted(owner, keys), np.searchsorted(owner, keys, side="right")
         alone = n - (last - first)
         take = allowed_missing(n, percent) + 1 - alone
-        # With a partner of m >= n members the overlap is at least percent * (n + m) / (100 + percent), so fewer may be missing.
-        short = n - (2 * n * percent + 99 + percent) // (100 + percent) + 1 - alone
         out: dict[str, list] = {k: [None] * len(keys) for k in schema.names[2:]}
         for i in np.flatnonzero((take > 0) & (last > first)):
             a, b = first[i], last[i]
-            out["s"][i], out["short"][i], out["shared"][i] = int(b - a), int(short[i]), value[a:b].tobytes()
+            out["s"][i], out["shared"][i] = int(b - a), value[a:b].tobytes()
             for name, p in zip(names, _prefixes(value[a:b], rank[a:b], int(take[i]))):
                 out[name][i] = p.view(np.int64)
         return pa.Table.from_pydict({"key": keys, "n": n} | out, schema=schema)
 
     fields = ", ".join(f"{p} array<long>" for p in names)
-    return shared.groupBy("part").applyInArrow(run, f"key long, n long, s long, short long, shared binary, {fields}")
+    return shared.groupBy("part").applyInArrow(run, f"key long, n long, s long, shared binary, {fields}")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,19 +246,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _may_link(x: str, y: str, percent: int) -> str:
-    """Whether two list rows may link: by size, by shared shingles, and by the shorter prefix of the smaller set."""
-    smaller = f"({x}.n < {y}.n OR ({x}.n = {y}.n AND {x}.key < {y}.key))"
+    """Whether two list rows may be the first that their sets share, and the sets may link.
+
+    ``r`` counts a set's shared shingles from this one on: what comes before the first
+    common shingle is in one of the two only, so the overlap is at most the smaller ``r``.
+    """
     return (
         f"least({x}.n, {y}.n) * 100 >= greatest({x}.n, {y}.n) * {percent}"
-        f" AND least({x}.s, {y}.s) * {100 + percent} >= ({x}.n + {y}.n) * {percent}"
-        f" AND CASE WHEN {smaller} THEN {x}.brief ELSE {y}.brief END"
+        f" AND least({x}.r, {y}.r) * {100 + percent} >= ({x}.n + {y}.n) * {percent}"
     )
 
 
 def linked(sets: DataFrame, percent: int) -> DataFrame:
     """``node, root`` of all sets that link with another, from the candidate sets."""
-    rows = sets.select("key", "n", "s", "short", F.posexplode("prefix0").alias("place", "t"))
-    rows = rows.select("key", "n", "s", "t", (F.col("place") < F.col("short")).alias("brief"))
+    rows = sets.select("key", "n", "s", F.posexplode("prefix0").alias("place", "t"))
+    rows = rows.select("key", "n", "s", "t", (F.col("s") - F.col("place")).alias("r"))
     held = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
     lists = stage(rows.join(held, "t", "left_semi").withColumn("root", F.col("key")))
     links, labels = None, None
@@ -279,7 +278,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
         else:
             # The first leader has the fewest unshared shingles; the next ones are drawn, so that others get their turn.
             order = F.struct((F.col("n") - F.col("s")).alias("u"), "key") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), F.col("root")).alias("u"), "key")
-            leaders = lists.groupBy("t").agg(F.min(F.struct(order.alias("o"), "key", "n", "s", "brief", "root")).alias("l")).select("t", "l.*")
+            leaders = lists.groupBy("t").agg(F.min(F.struct(order.alias("o"), "key", "n", "r", "root")).alias("l")).select("t", "l.*")
             met = lists.alias("x").join(leaders.alias("y"), F.expr(f"x.t = y.t AND x.root <> y.root AND {_may_link('x', 'y', percent)}"))
             best = met.groupBy(F.col("x.key").alias("k")).agg(F.min(F.struct("y.o", F.col("y.key").alias("lead"))).alias("m"))
             pairs = best.select(F.least("k", "m.lead").alias("a"), F.greatest("k", "m.lead").alias("b")).distinct()
