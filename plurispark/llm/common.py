@@ -52,6 +52,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bytes of a hash that travel in packed columns; the part it travels to tells further bits.
+WIDTH = 5
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """The low WIDTH bytes of 64-bit hashes."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return out.reshape(-1).view("<u8")
+
+
 #: Bytes of text whose hashes are held at once.
 SLICE = 1 << 20
 

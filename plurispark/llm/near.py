@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurispark.llm.common import ascii_lower, hash_spans, lower_bytes, mix, shuffle_partitions, slices, windows, words_of
+from plurispark.llm.common import WIDTH, ascii_lower, hash_spans, lower_bytes, mix, narrow, shuffle_partitions, slices, wide, windows, words_of
 from plurispark.llm.components import components
 from plurispark.session import broadcast_if_small, is_empty, stage
 
@@ -47,8 +47,6 @@ FLUSH = 2_000_000
 #: Parts in which shingles meet, for each shuffle partition; sets have as many groups as there are partitions.
 GROUPS = 3
 STAR_ROUNDS = 2
-#: Bytes of a shingle's hash that travel; the part it travels to tells further bits.
-WIDTH = 5
 
 
 def allowed_missing(n, percent: int):
@@ -79,16 +77,6 @@ _PACKED = pa.schema([("part", pa.int32()), ("origin", pa.int32()), ("owner", pa.
 _PACKED_DDL = "part int, origin int, owner binary, count binary, value binary, rank binary"
 
 
-def _narrow(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
-    return out.reshape(-1).view("<u8")
-
-
 def _row(rows: dict[str, list], part: int, origin: int, owner: np.ndarray, count: np.ndarray, value: bytes = b"", rank: bytes = b"") -> None:
     for k, v in zip(_PACKED.names, (int(part), int(origin), owner.astype("<i8").tobytes(), count.astype("<i4").tobytes(), value, rank)):
         rows[k].append(v)
@@ -118,7 +106,7 @@ def _dealt(sets: list[np.ndarray], keys: list[int], parts: int, groups: int) ->
     for p in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[p], cuts[p + 1]
         who, count = np.unique(of[a:b], return_counts=True)
-        _row(rows, p, p, owner[who], count, _narrow(values[a:b]))
+        _row(rows, p, p, owner[who], count, narrow(values[a:b]))
     order, cuts = _slices(_group(owner, groups), groups)
     for g in np.flatnonzero(np.diff(cuts)):
         at = order[cuts[g] : cuts[g + 1]]
@@ -158,7 +146,7 @@ def shared_shingles(packed: DataFrame, parts: int, groups: int) -> DataFrame:
             return table.set_column(at, "part", group)
         part = table.column("part")[0].as_py()
         owner = np.repeat(_joined(table, "owner", "<i8"), _joined(table, "count", "<i4"))
-        value = _wide(b"".join(table.column("value").to_pylist()))
+        value = wide(b"".join(table.column("value").to_pylist()))
         order = np.lexsort((owner, value))
         owner, value = owner[order], value[order]
         new = np.ones(len(value), bool)
@@ -176,7 +164,7 @@ def shared_shingles(packed: DataFrame, parts: int, groups: int) -> DataFrame:
         for g in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[g], cuts[g + 1]
             who, count = np.unique(owner[a:b], return_counts=True)
-            _row(rows, g, part, who, count, _narrow(value[a:b]), rank[a:b].tobytes())
+            _row(rows, g, part, who, count, narrow(value[a:b]), rank[a:b].tobytes())
         return pa.Table.from_pydict(rows, schema=_PACKED)
 
     return packed.groupBy("part").applyInArrow(run, _PACKED_DDL)
@@ -202,7 +190,7 @@ def candidates(shared: DataFrame, percent: int, parts: int) -> DataFrame:
         keys, at = np.unique(_joined(of_sets, "owner", "<i8"), return_index=True)
         n = _joined(of_sets, "count", "<i4")[at].astype(np.int64)
         owner = np.repeat(_joined(of_shingles, "owner", "<i8"), _joined(of_shingles, "count", "<i4"))
-        value, rank = _wide(b"".join(of_shingles.column("value").to_pylist())), _joined(of_shingles, "rank", np.uint8)
+        value, rank = wide(b"".join(of_shingles.column("value").to_pylist())), _joined(of_shingles, "rank", np.uint8)
         value = value | np.repeat(origin[origin < parts].astype(np.uint64) << np.uint64(8 * WIDTH), [len(x) // WIDTH for x in of_shingles.column("value").to_pylist()])
         order = np.lexsort((value, owner))
         owner, rank, value = owner[order], rank[order], value[order]
