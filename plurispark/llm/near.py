@@ -43,7 +43,7 @@ from plurispark.session import broadcast_if_small, is_empty, stage
 #: Prefix filters, one for each global order.
 ORDERS = 3
 #: Shingles held by a task before it hands out packed columns.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Parts in which shingles meet, for each shuffle partition; sets have as many groups as there are partitions.
 GROUPS = 3
 STAR_ROUNDS = 2

@@ -45,7 +45,7 @@ SHALLOW = 24
 #: Parts in which anchors meet, for each shuffle partition; texts have as many groups as there are partitions.
 GROUPS = 3
 #: Regions held by a task before they are handed out.
-FLUSH = 1_000_000
+FLUSH = 400_000
 
 _BYTE = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
