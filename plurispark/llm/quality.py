@@ -26,10 +26,11 @@ from plurispark.session import broadcast_if_small
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
-#: A line is above the limit when this share of the host's distinct documents has it ...
-LIMIT_PERCENT = 10
-#: ... and at least so many do.
-LIMIT_DOCS = 8
+#: A line is above the limit when so many distinct documents of its host have it: quotes and near
+#: copies that put a line on 15 of them reach 30 by chance with a probability of 0.0004.
+LIMIT_DOCS = 30
+#: A share of the host's distinct documents to ask for besides; the share of pages is op10's rule.
+LIMIT_PERCENT = 0
 MIN_LEFT_PERCENT = 50
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -117,9 +118,9 @@ def quality_rules(
     frequent = frequent_lines(docs, text, host, limit_percent, limit_docs)
     carried = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
     slim = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.col(host).alias("_host_of"), *carried)
-    found = lines.with_host_lines(slim, frequent, "_host_of", "_drop")
+    found = lines.with_host_lines(slim, frequent, "_host_of", "_drop", lines.BUCKETS)
     through = [f"_carry{i}" for i in range(len(carry))]
-    judged = found.select("_id", *through, "_text", lines.kept_lines(F.col("_text"), F.col("_drop")).alias("_left"))
+    judged = found.select("_id", *through, "_text", lines.kept_lines(F.col("_text"), F.col("_drop"), lines.BUCKETS).alias("_left"))
     fields = ", ".join(f"{m} long" for m in MEASURES)
     kind = docs.schema[id].dataType.simpleString()
     kinds = "".join(f"_carry{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))

@@ -284,6 +284,23 @@ def test_quality_rules(docs):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_line_dedup_cuts_what_a_twentieth_of_a_host_carries(spark):
+    made = [(i, f"own {i}\n" + ("menu" if i < 21 else "quoted" if i < 30 else "x"), "big") for i in range(300)]
+    made += [(1000 + i, f"own {i}\n" + ("menu" if i < 5 else "quoted" if i < 9 else f"x {i}"), "small") for i in range(60)]
+    got = lines.line_dedup(spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)).collect()
+    cut = {r.doc_id for r in got if r._n_cut}
+    assert cut == set(range(21)) | set(range(30, 300)) | set(range(1000, 1005))
+
+
+def test_quality_rules_limit_is_a_number_of_distinct_documents(spark):
+    many = "\n".join(f"line {k} of many" for k in range(300))
+    made = [(i, f"own {i}\n" + ("shared line" if i < 40 else "seldom line" if i < 60 else many if i < 95 else f"x {i}"), "big") for i in range(1000)]
+    made += [(1000 + i, "the same text\nas all copies", "big") for i in range(50)]
+    got = {r.doc_id: r.text_left for r in quality.quality_rules(spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)).collect()}
+    want = {i: f"own {i}" if i < 40 or 60 <= i < 95 else t for i, t, _ in made}
+    assert got == want
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert near.jaccard_join(empty, 4, 85).count() == 0
