@@ -12,7 +12,8 @@ times over, so suffixes are sorted only where strings can be shared:
    the others the first of its kind is kept if some other region of the anchor agrees with
    it for half of the missing bytes on one side (any shared string needs that).
 3. The texts of those regions, mostly the rims of copied passages, meet by anchor, and
-   the suffixes starting in them are sorted deep-shallow: multikey quicksort on machine words
+   the suffixes starting in them are sorted deep-shallow (those of an anchor that many kinds of
+   regions share are reduced in the sending task and meet by string): multikey quicksort on machine words
    to ``SHALLOW`` bytes, then a blind trie for each group that is still tied. Equal neighbours
    keep only the smallest id.
 
@@ -46,6 +47,10 @@ SHALLOW = 24
 GROUPS = 3
 #: Regions held by a task before they are handed out.
 FLUSH = 400_000
+#: An anchor with more kinds of regions whose texts are wanted is hot: its strings are dealt one by one.
+HOT = 1000
+#: Strings of hot anchors held by a task before they are handed out.
+FLUSH_STRINGS = 200_000
 
 _BYTE = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -138,7 +143,7 @@ _MET = pa.schema([("part", pa.int32()), ("owner", pa.binary()), ("rank", pa.bina
 _MET_DDL = "part int, owner binary, rank binary, body binary"
 #: A region on its way: number of its owner in this row's list, number in its text, hashes.
 _REGION = np.dtype([("of", "<u2"), ("nth", "<u2"), ("key", "<u4"), ("same", "<u4"), ("left", "u1"), ("right", "u1")])
-#: What a text learns of one of its regions: all strings go (``verdict`` 1), or its text is wanted (2).
+#: What a text learns of one of its regions: all strings go (``verdict`` 1), or its text is wanted (2; 3 if the anchor is hot).
 _NEWS = np.dtype([("owner", "<i8"), ("nth", "<u4"), ("verdict", "u1")])
 _CHUNK = 60_000
 
@@ -218,7 +223,7 @@ def sent_regions(texts: DataFrame, parts: int, groups: int) -> DataFrame:
     return texts.select("_key", "_rank", "_text").mapInArrow(run, _MET_DDL)
 
 
-def met_regions(sent: DataFrame, parts: int, groups: int) -> DataFrame:
+def met_regions(sent: DataFrame, parts: int, groups: int, hot: int = HOT) -> DataFrame:
     """News for the texts, packed by their groups, from the regions of each anchor."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -257,7 +262,11 @@ def met_regions(sent: DataFrame, parts: int, groups: int) -> DataFrame:
             hit = np.repeat(several, size) & (s[o] > 0)
             wanted[o[hit]] = True
         kind_of = np.cumsum(fresh) - 1
+        # All regions of an anchor are here, so every task learns the same of it.
+        begin = np.flatnonzero(fresh_key[kinds])
+        many = np.repeat(np.add.reduceat(wanted.astype(np.int64), begin) > hot, np.diff(np.append(begin, len(kinds))))
         verdict[(verdict == 0) & wanted[kind_of]] = 2
+        verdict[(verdict == 2) & many[kind_of]] = 3
         keep = verdict > 0
         news = np.zeros(int(keep.sum()), _NEWS)
         news["owner"], news["nth"], news["verdict"] = who["owner"][keep], who["base"][keep] + body["nth"][keep], verdict[keep]
@@ -279,13 +288,43 @@ def _by_owner(packed: DataFrame, kind: np.dtype, name: str) -> DataFrame:
     return packed.groupBy("part").applyInArrow(run, f"owner long, {name} binary")
 
 
-_RIM = np.dtype([("owner", "<i8"), ("rank", "<i8"), ("nth", "<u4"), ("count", "u1")])
+#: Bytes of a region on their way: ``count`` strings from the string ``base`` on.
+_RIM = np.dtype([("owner", "<i8"), ("rank", "<i8"), ("nth", "<u4"), ("base", "u1"), ("count", "u1")])
+
+
+def _masks(head: np.ndarray, of: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The masks of strings that go: number of the head and of the string from its base on."""
+    bits = np.zeros(len(head), np.uint64)
+    np.bitwise_or.at(bits, of, np.uint64(1) << (head["base"][of] + nth).astype(np.uint64))
+    hit = np.flatnonzero(bits)
+    masks = np.zeros(len(hit), _MASK)
+    masks["owner"], masks["nth"], masks["bits"] = head["owner"][hit], head["nth"][hit], bits[hit]
+    return masks
+
+
+def hot_strings(head: np.ndarray, data: np.ndarray, parts: int, groups: int) -> dict[str, list]:
+    """Single strings of hot anchors, dealt by their hashes, and the masks of those that a smaller id in this task removes."""
+    h = gram_hashes(data, SIZE)[::SIZE]
+    text = data.reshape(-1, SIZE)
+    order = np.lexsort((head["rank"], h))
+    start = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    first = order[np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
+    gone = (head["rank"][order] > head["rank"][first]) & (text[order] == text[first]).all(axis=1)
+    rows = _news_rows(_masks(head, order[gone], np.zeros(int(gone.sum()), np.int64)), groups, parts)
+    stay = order[~gone]
+    dealt, cuts = _cut(_group(h[stay], parts), parts)
+    for p in np.flatnonzero(np.diff(cuts)):
+        i = stay[dealt[cuts[p] : cuts[p + 1]]]
+        for k, v in (("part", int(p)), ("owner", head[i].tobytes()), ("rank", b""), ("body", text[i].tobytes())):
+            rows[k].append(v)
+    return rows
 
 
-def sent_rims(texts: DataFrame, parts: int) -> DataFrame:
-    """The wanted regions' bytes, dealt by anchor; *texts* carry the news of their regions."""
+def sent_rims(texts: DataFrame, parts: int, groups: int) -> DataFrame:
+    """The wanted regions' bytes, dealt by anchor, or by string where the anchor is hot; *texts* carry the news of their regions."""
 
     def run(batches):
+        held, strings, n = [], [], 0
         for batch in batches:
             owners, ranks = (np.asarray(batch.column(k)) for k in ("_key", "_rank"))
             news = batch.column("news")
@@ -296,7 +335,20 @@ def sent_rims(texts: DataFrame, parts: int) -> DataFrame:
                 begin = np.searchsorted(r["text"], np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
                     told = np.frombuffer(news[at + i].as_py(), _NEWS)
+                    many = told[told["verdict"] == 3]
                     told = told[told["verdict"] == 2]
+                    if len(many):
+                        j = begin[i] + many["nth"].astype(np.int64)
+                        count = r["count"][j]
+                        head = np.zeros(int(count.sum()), _RIM)
+                        base = np.arange(len(head)) - np.repeat(np.cumsum(count) - count, count)
+                        head["owner"], head["rank"], head["nth"], head["base"], head["count"] = owners[at + i], ranks[at + i], np.repeat(many["nth"], count), base, 1
+                        held.append(head)
+                        strings.append(data[(np.repeat(r["first"][j], count) + base)[:, None] + np.arange(SIZE)].reshape(-1))
+                        n += len(head)
+                        if n >= FLUSH_STRINGS:
+                            yield pa.RecordBatch.from_pydict(hot_strings(np.concatenate(held), np.concatenate(strings), parts, groups), schema=_MET)
+                            held, strings, n = [], [], 0
                     j = begin[i] + told["nth"].astype(np.int64)
                     head = np.zeros(len(j), _RIM)
                     head["owner"], head["rank"], head["nth"], head["count"] = owners[at + i], ranks[at + i], told["nth"], r["count"][j]
@@ -312,6 +364,8 @@ def sent_rims(texts: DataFrame, parts: int) -> DataFrame:
                 for k, v in (("part", int(p)), ("owner", heads[i].tobytes()), ("rank", b""), ("body", b"".join(bodies[x] for x in i))):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_MET)
+        if n:
+            yield pa.RecordBatch.from_pydict(hot_strings(np.concatenate(held), np.concatenate(strings), parts, groups), schema=_MET)
 
     return texts.select("_key", "_rank", "_text", "news").mapInArrow(run, _MET_DDL)
 
@@ -416,8 +470,10 @@ def deep_shallow(data: bytes, starts: np.ndarray, depth: int = SIZE) -> tuple[np
 _MASK = np.dtype([("owner", "<i8"), ("nth", "<u4"), ("bits", "<u8")])
 
 
-def sorted_rims(sent: DataFrame, groups: int) -> DataFrame:
+def sorted_rims(sent: DataFrame, parts: int, groups: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() >= parts:
+            return table.set_column(0, "part", pa.array([x - parts for x in table.column("part").to_pylist()], pa.int32()))
         head = np.frombuffer(b"".join(table.column("owner").to_pylist()), _RIM)
         data = b"".join(table.column("body").to_pylist())
         count = head["count"].astype(np.int64)
@@ -429,12 +485,7 @@ def sorted_rims(sent: DataFrame, groups: int) -> DataFrame:
         group = np.flatnonzero(~equal)
         least = np.repeat(np.minimum.reduceat(rank, group), np.diff(np.append(group, len(rank)))) if len(rank) else rank
         gone = order[rank > least]
-        bits = np.zeros(len(head), np.uint64)
-        np.bitwise_or.at(bits, of[gone], np.uint64(1) << nth[gone].astype(np.uint64))
-        hit = np.flatnonzero(bits)
-        masks = np.zeros(len(hit), _MASK)
-        masks["owner"], masks["nth"], masks["bits"] = head["owner"][hit], head["nth"][hit], bits[hit]
-        return pa.Table.from_pydict(_news_rows(masks, groups, 0), schema=_MET)
+        return pa.Table.from_pydict(_news_rows(_masks(head, of[gone], nth[gone]), groups, 0), schema=_MET)
 
     return sent.groupBy("part").applyInArrow(run, _MET_DDL)
 
@@ -477,7 +528,7 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     return texts.select("_key", "_text", "news", "masks").mapInArrow(run, "_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", with_kept: bool = False, hot: int = HOT) -> DataFrame:
     """Per row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and the ``kept`` bytes)."""
     groups = shuffle_partitions(docs.sparkSession)
     parts = GROUPS * groups
@@ -490,9 +541,9 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", with_k
     rows = keyed.where("_id IS NOT NULL")
     single = rows.join(broadcast_if_small(repeats), (rows["_id"] == F.col("_i")) & (rows["_key"] == F.col("_k")), "left_anti")
     texts = single.select("_key", F.col("_id").cast("long").alias("_rank"), "_text")
-    news = stage(_by_owner(met_regions(sent_regions(texts, parts, groups), parts, groups), _NEWS, "news"))
+    news = stage(_by_owner(met_regions(sent_regions(texts, parts, groups), parts, groups, hot), _NEWS, "news"))
     told = texts.join(news, F.col("_key") == F.col("owner"))
-    masks = _by_owner(sorted_rims(sent_rims(told, parts), groups), _MASK, "masks").withColumnRenamed("owner", "_o")
+    masks = _by_owner(sorted_rims(sent_rims(told, parts, groups), parts, groups), _MASK, "masks").withColumnRenamed("owner", "_o")
     cut = cut_texts(texts.join(news.join(masks, F.col("owner") == F.col("_o"), "left"), F.col("_key") == F.col("owner")))
     if not with_kept:
         cut = cut.drop("kept")

@@ -131,6 +131,28 @@ def test_suffix_dedup(docs):
     assert sum(w[2] for w in want) > 1000
 
 
+def test_suffix_dedup_of_hot_anchors(docs):
+    assert sorted(map(str, suffixes.suffix_dedup(docs, hot=0).collect())) == sorted(map(str, suffixes.suffix_dedup(docs).collect()))
+
+
+def test_rims_of_a_passage_in_different_texts_do_not_meet_in_one_part(spark):
+    r = random.Random(6)
+    prose = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage, parts = prose(120), 24
+    made = [prose(60) + passage + prose(60) for _ in range(3000)]
+    texts = spark.createDataFrame([(i, i, t) for i, t in enumerate(made)], "_key long, _rank long, _text string").repartition(4)
+    news = suffixes._by_owner(suffixes.met_regions(suffixes.sent_regions(texts, parts, 8), parts, 8), suffixes._NEWS, "news")
+    sent = suffixes.sent_rims(texts.join(news, F.col("_key") == F.col("owner")), parts, 8).where(F.col("part") < parts)
+    size = [n for _, n in sent.groupBy("part").agg(F.sum(F.octet_length("body"))).collect()]
+    assert max(size) < 0.25 * sum(size)
+    got = suffixes.suffix_dedup(texts.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text"))).collect()
+    first, want = {}, {}
+    for i, t in enumerate(made):
+        gone = [first.setdefault(t[p : p + 50], i) < i for p in range(len(t) - 49)]
+        want[i] = sum(any(gone[max(p - 49, 0) : p + 1]) for p in range(len(t)))
+    assert {x.doc_id: x.n_removed for x in got} == want
+
+
 def test_deep_shallow_orders_suffixes():
     r = random.Random(3)
     data = b"".join(r.choice([b"abracadabra" * 9, b"zz", bytes(r.randrange(97, 99) for _ in range(40))]) for _ in range(60))
