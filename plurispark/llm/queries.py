@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurispark.llm import chat, leaks, lengths, lines, near, packing, perplexity, quality, suffixes, urls
+from plurispark.llm import chat, leaks, lengths, lines, merkle, near, packing, perplexity, quality, suffixes, urls
 from plurispark.llm.common import read
 
 QUERIES: dict = {}
@@ -119,3 +119,53 @@ def op5_chat_formatting(spark, folder):
 @register("op1_quality_classifier")
 def op1_quality_classifier(spark, folder):
     return perplexity.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+#: The usual table of 256 entries for CRC-32.
+_CRC = """
+crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda s, k: xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END), b)) AS tab)"""
+
+
+def _crc(octets: str) -> str:
+    """SQL for the unsigned checksum of a list of numbers below 256."""
+    return f"xor(list_reduce({octets}, lambda s, o: xor(s >> 8, tab[(xor(s, o) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _frame(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return " || ".join(f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in fields)
+
+
+def _levels(name: str, keys: str, start: str) -> str:
+    """SQL for all nodes above those of *start*, whose rows are keys, level, pos, node and n."""
+    return f"""{name} AS ({start}
+  UNION ALL SELECT {keys}, level + 1, pos // {merkle.ARITY}, sha256(string_agg(node, '' ORDER BY pos)), (min(n) + {merkle.ARITY - 1}) // {merkle.ARITY}
+  FROM {name} WHERE n > 1 GROUP BY {keys}, level, pos // {merkle.ARITY})"""
+
+
+@register("op11_merkle_manifest", f"""
+WITH RECURSIVE {_CRC},
+docs AS (SELECT *, {_crc("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)")} % 2 = 0 AS tampered FROM documents, crc_table),
+leaves AS (SELECT doc_id, source, sha256({_frame('text')}) AS leaf,
+  CASE WHEN tampered THEN sha256({_frame("replace(text, chr(10), '')")}) ELSE sha256({_frame('text')}) END AS now FROM docs),
+sources AS (SELECT source, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)),
+placed AS (SELECT row_number() OVER () AS row_id, l.doc_id, l.leaf, l.now, s.tree,
+  row_number() OVER (PARTITION BY s.tree ORDER BY l.doc_id NULLS FIRST, l.leaf) - 1 AS pos
+  FROM leaves l JOIN sources s ON l.source IS NOT DISTINCT FROM s.source),
+{_levels('up', 'tree', "SELECT tree, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM placed")},
+subs AS (SELECT tree, node AS subroot, level AS height FROM up WHERE n = 1),
+{_levels('over', 'tree', "SELECT -1 AS tree, 0 AS level, tree AS pos, subroot AS node, count(*) OVER () AS n FROM subs")},
+roots AS (SELECT node AS root, level AS height FROM over WHERE n = 1),
+nodes AS (SELECT tree, level, pos, node FROM up UNION ALL SELECT tree, level, pos, node FROM over),
+path AS (SELECT row_id, k AS step, p.tree, k AS level, pos // pow({merkle.ARITY}, k)::BIGINT AS own FROM placed p JOIN subs USING (tree), range(30) r(k) WHERE k < height
+  UNION ALL SELECT row_id, s.height + k, -1, k, p.tree // pow({merkle.ARITY}, k)::BIGINT FROM placed p JOIN subs s USING (tree), roots, range(30) r(k) WHERE k < roots.height),
+kin AS (SELECT row_id, step, own, n.pos, n.node FROM path p JOIN nodes n ON n.tree = p.tree AND n.level = p.level AND n.pos // {merkle.ARITY} = p.own // {merkle.ARITY}),
+proofs AS (SELECT row_id, sha256(string_agg(node, '' ORDER BY step, pos)) AS proof FROM kin WHERE pos <> own GROUP BY row_id),
+fold AS (SELECT row_id, 0::BIGINT AS step, now AS h FROM placed
+  UNION ALL SELECT f.row_id, f.step + 1, sha256(string_agg(CASE WHEN k.pos = k.own THEN f.h ELSE k.node END, '' ORDER BY k.pos))
+  FROM fold f JOIN kin k ON k.row_id = f.row_id AND k.step = f.step GROUP BY f.row_id, f.step),
+ends AS (SELECT row_id, arg_max(h, step) AS folded FROM fold GROUP BY row_id)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM placed JOIN subs USING (tree) JOIN ends USING (row_id) LEFT JOIN proofs USING (row_id), roots""")
+def op11_merkle_manifest(spark, folder):
+    return merkle.document_manifest(read(spark, folder, "documents"))
