@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurispark.llm import chat, leaks, lengths, lines, merkle, near, packing, perplexity, quality, suffixes, urls
+from plurispark.llm import chat, leaks, lengths, lines, merkle, near, packing, perplexity, quality, subtrees, suffixes, urls
 from plurispark.llm.common import read
 
 QUERIES: dict = {}
@@ -169,3 +169,18 @@ SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256,
 FROM placed JOIN subs USING (tree) JOIN ends USING (row_id) LEFT JOIN proofs USING (row_id), roots""")
 def op11_merkle_manifest(spark, folder):
     return merkle.document_manifest(read(spark, folder, "documents"))
+
+
+@register("op12_substring_dedup", rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+starts AS (SELECT row_id, doc_id, i, md5(array_to_string(w[i:i + {subtrees.WINDOW - 1}], ' ')) AS g
+  FROM (SELECT row_id, doc_id, w, unnest(range(1, len(w) - {subtrees.WINDOW - 2})) AS i FROM docs WHERE doc_id IS NOT NULL AND len(w) >= {subtrees.WINDOW})),
+gone AS (SELECT row_id, i FROM (SELECT row_id, doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first_id FROM starts) WHERE doc_id > first_id),
+spots AS (SELECT DISTINCT row_id, i + k AS i FROM gone, range({subtrees.WINDOW}) r(k)),
+runs AS (SELECT row_id, count(*) AS n_spans FROM (SELECT row_id, i - lag(i) OVER (PARTITION BY row_id ORDER BY i) AS gap FROM spots) WHERE gap IS NULL OR gap > 1 GROUP BY row_id),
+lost AS (SELECT row_id, list(i) AS cut FROM spots GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(cut), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(cut, []), i)), ' ')) AS kept_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM docs LEFT JOIN lost USING (row_id) LEFT JOIN runs USING (row_id)""")
+def op12_substring_dedup(spark, folder):
+    return subtrees.subtree_dedup(read(spark, folder, "documents"))
