@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurispark.llm import chat, leaks, lengths, lines, merkle, near, packing, perplexity, quality, subtrees, suffixes, urls
+from plurispark.llm import chat, leaks, lengths, lines, merkle, near, packing, perplexity, quality, subtrees, suffixes, urls, variants
 from plurispark.llm.common import read
 
 QUERIES: dict = {}
@@ -184,3 +184,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(cut), 0)::BIGINT AS n_rem
 FROM docs LEFT JOIN lost USING (row_id) LEFT JOIN runs USING (row_id)""")
 def op12_substring_dedup(spark, folder):
     return subtrees.subtree_dedup(read(spark, folder, "documents"))
+
+
+@register("op13_spelling_variants", f"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {variants.LEAST_LENGTH} GROUP BY doc_id, run),
+summed AS (SELECT run, n, {_crc("list_transform(string_split(rtrim(regexp_replace(hex(encode(doc_id || ':' || run)), '(..)', '\\1 ', 'g')), ' '), lambda h: ('0x' || h)::BIGINT)")} AS h
+  FROM counted, crc_table),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= {variants.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {variants.LEAST_COUNT}),
+outs AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM words, range(1, 200) r(k) WHERE k <= length(word)),
+near AS (SELECT a.word AS x, a.n AS nx, b.word AS y, b.n AS ny FROM outs a JOIN outs b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM outs a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM outs a JOIN words b ON a.rest = b.word),
+best AS (SELECT x, nx, count(*) AS n_near, arg_min(y, (-ny, encode(y))) AS y, max(ny) AS ny FROM near GROUP BY x, nx),
+forms AS (SELECT x AS word, n_near, CASE WHEN ny >= {variants.RATIO} * nx THEN y END AS form, CASE WHEN ny >= {variants.RATIO} * nx THEN ny END AS form_n FROM best),
+chain AS (SELECT word, 0 AS step, word AS root FROM words UNION ALL SELECT c.word, step + 1, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n FROM words JOIN ends USING (word) LEFT JOIN forms USING (word)""")
+def op13_spelling_variants(spark, folder):
+    return variants.variants(variants.word_counts(read(spark, folder, "documents")))
