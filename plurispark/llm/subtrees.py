@@ -48,7 +48,7 @@ SHARE = 8
 #: A prefix is counted in a task's batch of FLUSH_WORDS words if it starts that many windows there.
 LEAST = 16
 #: Parts in which suffixes meet, for each shuffle partition; texts have as many groups as there are partitions.
-PARTS = 3
+PARTS = 2
 #: Words whose anchors, and suffixes that, a task holds before it hands them out.
 FLUSH_WORDS = 4_000_000
 FLUSH_ANCHORS = 400_000
