@@ -2,11 +2,14 @@
 
 Rules decide the URLs they fit (longest rule first) and thereby label them; gradient-boosted
 trees learn from those labelled URLs and decide the rest. Features are lexical: lengths,
-depth, digit ratio, character entropy, parameters, labels of the host, and how often labelled
-URLs with the same host suffix are blocked (smoothed, over all labelled URLs).
+depth, digit ratio, character entropy, parameters, labels of the host, and for each of three
+suffixes of the host (last label, last two, whole host) how often labelled URLs with it are blocked
+and what share of its URLs is labelled at all (smoothed, over all URLs).
 
-Trees are trained on at most about ``TRAIN_ROWS`` labelled URLs, chosen by hash; everything
-else covers all rows. All of it is DataFrame functions and the DataFrame API of Spark ML.
+A labelled URL meets rates that were counted without its own fold, so its label does not tell
+itself. Suffixes whose labels differ teach what the rates cannot: together their URLs weigh as much as
+those of all suffixes with one label. Trees are trained on at most about ``TRAIN_ROWS`` labelled URLs,
+chosen by hash; everything else covers all rows. All of it is DataFrame functions and the DataFrame API of Spark ML.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule
 and is judged by the trees; without labelled URLs of both kinds the method answers the kind
@@ -31,6 +34,9 @@ TREES = 10
 DEPTH = 4
 #: Labelled URLs that each suffix is credited with at the overall rate.
 SMOOTHING = 20
+FOLDS = 5
+#: Labels of the host, from its end, in each suffix; 0 is the whole host.
+SUFFIXES = {"label": 1, "domain": 2, "host": 0}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -60,7 +66,7 @@ def entropy(text: Column) -> Column:
 
 
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "fragment",
-            "has_extension", "last_number", "suffix_rate", "suffix_count")
+            "has_extension", "last_number", *(f"{k}_{v}" for k in SUFFIXES for v in ("rate", "count", "labelled")))
 
 
 def lexical(rows: DataFrame) -> DataFrame:
@@ -75,7 +81,29 @@ def lexical(rows: DataFrame) -> DataFrame:
         "parameters": F.when(query == "", F.lit(0)).otherwise(kept(query, "[^&]") + 1), "fragment": F.contains(url, F.lit("#")),
         "has_extension": F.col("path").rlike(r"\.[A-Za-z0-9]+$"), "last_number": F.length(F.regexp_extract("path", r"([0-9]+)[^0-9]*$", 1)),
     }
-    return rows.withColumns({k: v.cast("double") for k, v in number.items()}).withColumn("_suffix", F.substring_index("host", ".", -1))
+    return rows.withColumns({k: v.cast("double") for k, v in number.items()})
+
+
+def suffix(k: str) -> Column:
+    return F.substring_index("host", ".", -SUFFIXES[k]) if SUFFIXES[k] else F.col("host")
+
+
+def suffix_statistics(rows: DataFrame, rate: float) -> DataFrame:
+    """Per kind of suffix and suffix, of all its URLs (``_f`` -1) and without each fold: smoothed rate, labelled URLs, share labelled, whether labels differ.
+
+    *rows* have ``host``, ``label`` (null where no rule fits) and ``_fold``.
+    """
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), suffix(k).alias("s")) for k in SUFFIXES]))
+    counted = rows.select(kinds.alias("_x"), "_fold", "label").groupBy("_x.k", "_x.s", "_fold").agg(
+        F.sum("label").alias("b"), F.count("label").alias("n"), F.count(F.lit(1)).alias("a"))
+    whole = counted.groupBy("k", "s").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("b", "n", "a")))
+    every = F.explode(F.sequence(F.lit(-1), F.lit(FOLDS - 1))).alias("_f")
+    own = counted.select(F.col("k").alias("_ok"), F.col("s").alias("_os"), F.col("_fold").alias("_of"), *(F.col(c).alias(f"_{c}") for c in ("b", "n", "a")))
+    x = whole.select("*", every).join(own, (F.col("k") == F.col("_ok")) & (F.col("s") == F.col("_os")) & (F.col("_f") == F.col("_of")), "left")
+    less = {c: F.col(c) - F.coalesce(f"_{c}", F.lit(0)) for c in ("b", "n", "a")}
+    return x.select(
+        "k", "s", "_f", ((less["b"] + rate * SMOOTHING) / (less["n"] + SMOOTHING)).alias("rate"), F.log1p(less["n"].cast("double")).alias("count"),
+        ((less["n"] + 1) / (less["a"] + 2)).alias("labelled"), ((F.col("b") > 0) & (F.col("b") < F.col("n"))).alias("mixed"))
 
 
 def judge(
@@ -85,30 +113,37 @@ def judge(
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(id).alias("_id"), F.col(url).alias("_url"), host.alias("host"), path.alias("path"))
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = lexical(rows.withColumn("rule", rule).withColumn("_action", action))
-    labelled = rows.where("_action IS NOT NULL").withColumn("label", (F.col("_action") == "block").cast("double"))
-    suffixes = stage(labelled.groupBy("_suffix").agg(F.sum("label").alias("_blocked"), F.count(F.lit(1)).alias("_all")))
-    total = suffixes.agg(F.sum("_blocked").alias("blocked"), F.sum("_all").alias("all")).first()
-    n, blocked = total["all"] or 0, total["blocked"] or 0.0
+    label = (F.col("_action") == "block").cast("double")
+    fold = F.pmod(F.xxhash64("_url", "_id", F.lit(1)), F.lit(FOLDS)).cast("int")
+    rows = lexical(rows.withColumn("rule", rule).withColumn("_action", action).withColumn("label", label).withColumn("_fold", fold))
+    total = rows.agg(F.sum("label").alias("blocked"), F.count("label").alias("all")).first()
+    n, blocked = total["all"], total["blocked"] or 0.0
     out = ["_id", "host", "path", "rule"]
     if not 0 < blocked < n:
         fixed = F.lit("block" if n and blocked else "allow")
         score = F.lit(1.0 if n and blocked else 0.0)
         return rows.select(F.col("_id").alias(id), *out[1:], F.coalesce("_action", fixed).alias("verdict"), score.alias("score"))
     rate = blocked / n
-    stats = broadcast_if_small(suffixes.select(
-        F.col("_suffix").alias("_s"), ((F.col("_blocked") + rate * SMOOTHING) / (F.col("_all") + SMOOTHING)).alias("_rate"), F.col("_all").cast("double").alias("_n")))
+    stats = stage(suffix_statistics(rows.select("host", "label", "_fold"), rate))
 
-    def with_suffix(df: DataFrame) -> DataFrame:
-        return df.join(stats, df["_suffix"] == F.col("_s"), "left").withColumn("suffix_rate", F.coalesce("_rate", F.lit(rate))).withColumn(
-            "suffix_count", F.log1p(F.coalesce("_n", F.lit(0.0)))).drop("_s", "_rate", "_n")
+    def with_suffixes(df: DataFrame, fold: Column) -> DataFrame:
+        df = df.withColumn("_want", fold)
+        for k in SUFFIXES:
+            mine = stats.where(F.col("k") == k).select(F.col("s").alias("_s"), "_f", *(F.col(c).alias(f"{k}_{c}") for c in ("rate", "count", "labelled", "mixed")))
+            df = df.join(broadcast_if_small(mine), (suffix(k) == F.col("_s")) & (F.col("_want") == F.col("_f")), "left").drop("_s", "_f")
+        return df
 
     million = 1_000_000
     part = F.pmod(F.xxhash64("_url", "_id"), F.lit(million)) < int(million * min(1.0, train_rows / n))
-    sample = stage(with_suffix(labelled.where(part)).select("label", *FEATURES)).coalesce(4)  # about train_rows rows at any size
+    sample = with_suffixes(rows.where(F.col("label").isNotNull() & part), F.col("_fold"))
+    sample = stage(sample.select("label", F.col("domain_mixed").alias("_mixed"), *FEATURES)).coalesce(4)  # about train_rows rows at any size
+    seen = sample.agg(F.count_if("_mixed").alias("mixed"), F.count_if(~F.col("_mixed")).alias("plain")).first()
+    weight = seen["plain"] / seen["mixed"] if seen["mixed"] and seen["plain"] else 1.0
+    sample = sample.withColumn("_weight", F.when(F.col("_mixed"), F.lit(weight)).otherwise(F.lit(1.0)))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(assembler.transform(sample).select("label", "features"))
-    scored = trees.transform(assembler.transform(with_suffix(rows)))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, weightCol="_weight").fit(
+        assembler.transform(sample).select("label", "_weight", "features"))
+    scored = trees.transform(assembler.transform(with_suffixes(rows, F.lit(-1))))
     score = vector_to_array("probability")[1]
     verdict = F.coalesce("_action", F.when(score >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select(F.col("_id").alias(id), *out[1:], verdict.alias("verdict"), score.alias("score"))

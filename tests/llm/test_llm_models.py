@@ -127,6 +127,21 @@ def test_trees_find_held_out_labels(spark):
     assert got.agg(right).first()[0] > 0.95
 
 
+def test_labels_that_differ_within_a_suffix_teach_more_than_the_suffix(spark):
+    """Hosts of one domain, told apart by what their URLs look like; other hosts of that domain have no rule."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
+    junk = lambda host: f"http://{host}.one.com/{r.randrange(10**9)}/{r.randrange(10**9)}?a={r.randrange(99)}&b={r.randrange(99)}&c=1"
+    plain = lambda host: f"http://{host}.one.com/{word()}/{word()}"
+    made = [junk(r.choice(["bad", "worse"])) for _ in range(300)] + [plain(r.choice(["good", "fine"])) for _ in range(300)]
+    made += [f"http://{word()}.two.net/{word()}" for _ in range(900)]
+    asked = [(junk(f"new{k}"), "block") for k in range(60)] + [(plain(f"new{k}"), "allow") for k in range(60)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(made + [u for u, _ in asked])], "page_id long, url string")
+    rules = (("bad.one.com/", "block"), ("worse.one.com/", "block"), ("good.one.com/", "allow"), ("fine.one.com/", "allow"), ("two.net/", "allow"))
+    got = {x.page_id: x.verdict for x in urls.judge(pages, rules).collect()}
+    assert sum(got[len(made) + i] == v for i, (_, v) in enumerate(asked)) >= 114
+
+
 def test_urls_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.com/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in urls.judge(pages, RULES).collect()} == {"allow"}
