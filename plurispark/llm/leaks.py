@@ -12,14 +12,16 @@ Jaccard similarity (shared occurrences / all occurrences) is ``PERCENT`` or more
 3. Fingerprints are cut in ``BLOCKS`` blocks of 16 bits. Two that differ in at most ``RADIUS``
    bits differ in at most ``RADIUS // BLOCKS`` bits of some block; items are filed under all block
    values that near, and windows look up their own four. All pairs within the radius meet.
-4. The exact weighted similarity of those pairs decides.
+4. The exact weighted similarity of those pairs decides. A shingle that occurs several times weighs on
+   every bit, so fingerprints say less about windows and items with repeated shingles: those meet by their
+   shingles instead, and are decided in the same way.
 
 Everything is DataFrame functions. Items are few beside the texts; their side is only
 broadcast when it is measured to be small.
 
 Defined cases: null and empty texts and texts shorter than N words leak nothing; items shorter than
 N words are never found; a text shorter than an item is one window; repeated rows of a document or
-item are one; rows without an id are not searched, since they could not be named.
+item are one; rows without an id are not searched, since they could not be named (a caller gives them a key).
 """
 
 from __future__ import annotations
@@ -128,10 +130,17 @@ def find_leaks(
     blocks = F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])
     asked = marked.select("_window", "_len", F.col("fp").alias("_fw"), F.explode(blocks).alias("_block")).select(
         "_window", "_len", "_fw", F.col("_block.b").alias("_b"), F.col("_block.v").alias("_value"))
-    filed = near_blocks(fingerprints(wanted, ["_item", "_len", "_hi"], "_hi").select("_item", "_len", "fp"), radius).withColumnRenamed("fp", "_fi")
+    printed = stage(fingerprints(wanted, ["_item", "_len", "_hi"], "_hi").withColumnRenamed("fp", "_fi"))
+    filed = near_blocks(printed.select("_item", "_len", F.col("_fi").alias("fp")), radius).withColumnRenamed("fp", "_fi")
+    apart = F.bit_count(F.col("_fw").bitwiseXOR(F.col("_fi"))).alias("hamming")
     # Each item is filed thousands of times, which a plan's size estimate does not see: no broadcast.
-    met = asked.join(filed.hint("merge"), ["_len", "_b", "_value"]).withColumn("hamming", F.bit_count(F.col("_fw").bitwiseXOR(F.col("_fi"))))
-    met = met.where(F.col("hamming") <= radius).select("_window", "_item", "hamming").distinct()
+    met = asked.join(filed.hint("merge"), ["_len", "_b", "_value"]).select("_window", "_item", apart).where(F.col("hamming") <= radius)
+    repeats = lambda h: F.size(F.array_distinct(h)) < F.size(h)
+    by_window = marked.select("_window", "_len", F.col("fp").alias("_fw"), F.explode(F.array_distinct("_hw")).alias("_h"), repeats("_hw").alias("_r"))
+    by_item = printed.select("_item", "_len", "_fi", F.explode(F.array_distinct("_hi")).alias("_h"), repeats("_hi").alias("_r"))
+    for x, y in ((by_window.where("_r"), by_item), (by_window.where("NOT _r"), by_item.where("_r"))):
+        met = met.union(x.drop("_r").join(broadcast_if_small(y.drop("_r")), ["_len", "_h"]).select("_window", "_item", apart))
+    met = met.distinct()
     pairs = met.join(marked, "_window").join(broadcast_if_small(wanted.select("_item", "_hi")), "_item")
     pairs = pairs.withColumn("_shared", shared_weight(F.col("_hw"), F.col("_hi")))
     all_ = F.size("_hw") + F.size("_hi") - F.col("_shared")

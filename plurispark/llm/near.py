@@ -23,8 +23,8 @@ Equal texts (after lower-casing) are one set; they cost one row each.
 
 Defined cases: null and empty texts and texts without words have the empty set and link with
 nothing; a text with fewer words than a shingle is one shingle; repeated rows and repeated
-ids are kept, and rows of one id are one document for the links; a null id never links and has
-a null component.
+ids are kept, and rows of one id are one document for the links, whatever their texts (with
+``by_row`` each row links by its own text alone); a null id never links and has a null component.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurispark.llm.common import WIDTH, ascii_lower, hash_spans, lower_bytes, mix, narrow, shuffle_partitions, slices, wide, windows, words_of
@@ -276,12 +276,27 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     return labels
 
 
-def jaccard_join(docs: DataFrame, n: int, percent: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of *docs*: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+def text_key(text: Column) -> Column:
+    """The key of a text: texts that are equal after lower-casing share it."""
+    lower = ascii_lower(F.coalesce(text, F.lit("")))
+    return F.xxhash64(lower, F.reverse(lower))
+
+
+def _of_one_id(ids: DataFrame) -> DataFrame:
+    """Edges between the keys of ids that have several; *ids* are (``_id``, ``_key``) of texts with words."""
+    ends = ids.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_key").alias("a"), F.max("_key").alias("_hi")).where("a <> _hi")
+    return ids.join(ends.select(F.col("_id").alias("_i"), "a"), F.col("_id") == F.col("_i")).where("_key <> a").select("a", F.col("_key").alias("b")).distinct()
+
+
+def jaccard_join(docs: DataFrame, n: int, percent: int, id: str = "doc_id", text: str = "text", by_row: bool = False) -> DataFrame:
+    """Per row of *docs*: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+
+    With *by_row*, also the ``text_key`` by which rows of one id are told apart.
+    """
     spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("_id"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    keyed = rows.select("_id", F.xxhash64("_text", F.reverse("_text")).alias("_key"), "_text")
+    keyed = rows.select("_id", text_key(F.col("_text")).alias("_key"), "_text")
     ids = stage(keyed.select("_id", "_key"))
     # One row of each text makes its set: the first id; rows that repeat it stay out.
     first = ids.groupBy("_key").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_c"))
@@ -299,8 +314,13 @@ def jaccard_join(docs: DataFrame, n: int, percent: int, id: str = "doc_id", text
     else:
         roots = linked(sets, percent)
         out = out.join(roots, out["_key"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_key"))
-    out = stage(out.select("_id", "_root", "n_shingles"))
+    out = stage(out.select("_id", "_key", "_root", "n_shingles"))
+    if not by_row:
+        same = stage(_of_one_id(out.where("n_shingles > 0").select("_id", F.col("_root").alias("_key"))))
+        if not is_empty(same):
+            further = components(same).select("node", F.col("root").alias("_to"))
+            out = out.join(further, F.col("_root") == F.col("node"), "left").withColumn("_root", F.coalesce("_to", "_root"))
     least = out.where("n_shingles > 0").groupBy("_root").agg(F.min("_id").alias("_least"))
     own = F.when(F.col("_id").isNull() | (F.col("n_shingles") == 0), F.col("_id")).otherwise(F.coalesce("_least", "_id"))
-    return out.join(least, "_root", "left").select(
-        F.col("_id").cast(kind).alias(id), F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"))
+    columns = [F.col("_id").cast(kind).alias(id), F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id")]
+    return out.join(least, "_root", "left").select(*columns, *([F.col("_key").alias("text_key")] if by_row else []))

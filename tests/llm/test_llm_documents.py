@@ -100,6 +100,20 @@ def test_jaccard_join_takes_rounds_over_large_groups(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
 
 
+def test_rows_of_one_id_are_one_document_or_rows_of_their_own(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(3))
+    made = [(3, a), (5, a + " end"), (5, b), (7, b + " end"), (9, c), (9, ""), (None, a)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = near.jaccard_join(docs, 4, 85).collect()
+    assert sorted((x.doc_id or 0, x.n_shingles, x.component_id) for x in got) == [
+        (0, 57, None), (3, 57, 3), (5, 57, 3), (5, 58, 3), (7, 58, 3), (9, 0, 9), (9, 57, 9)]
+    by_row = near.jaccard_join(docs, 4, 85, by_row=True).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in by_row if x.doc_id) == [(3, 57, 3), (5, 57, 5), (5, 58, 3), (7, 58, 5), (9, 0, 9), (9, 57, 9)]
+    keys = {(x.doc_id, x.n_shingles): x.text_key for x in by_row}
+    assert keys[3, 57] == keys[None, 57] and len(set(keys.values())) == 6
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(70)] + [(7, 7)]
@@ -196,6 +210,23 @@ def test_leaks(spark, docs):
     assert {900, 901, 903, 904} <= {d for d, _ in want} and 902 not in {d for d, _ in want}
 
 
+def test_repeated_shingles_do_not_hide_a_leak(spark):
+    """One shingle held many times decides most bits of a fingerprint; such pairs must still meet."""
+    r = random.Random(11)
+    items, docs = [], []
+    for k in range(25):
+        own = [f"q{k}w{i}" for i in range(120)]
+        held = r.choice("abc")
+        items.append((k, " ".join(own + [held] * 14)))
+        docs.append((k, " ".join(["before", *own, *([r.choice("def")] * 14), "after"])))  # similarity 116 / 144
+        docs.append((100 + k, " ".join([*own[:90], *([held] * 14)])))
+        docs.append((200 + k, " ".join([*(f"x{i}" for i in range(9)), *own, *([held] * 30)])))
+    want = brute_leaks(docs, items)
+    found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) == 50 and max(x.hamming for x in found) > leaks.RADIUS
+    assert {(x.doc_id, x.item_id): round(x.similarity, 9) for x in found} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     r = random.Random(4)
     base = r.getrandbits(63)

@@ -65,3 +65,16 @@ def test_rows_with_nulls_and_no_rows(spark):
         for _, step in corpus_pipeline.STAGES:
             docs = step(spark, docs, FOLDER)
         docs.collect()
+
+
+def test_rows_of_one_id_and_rows_without_one(spark):
+    items = [r.text for r in read(spark, FOLDER, "benchmark").collect()]
+    item = max(items, key=len)
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(80))
+    rows = [(1, text(1), "en", "s", 1), (2, text(1) + " more", "en", "s", 1), (2, text(2), "en", "s", 1), (None, text(3) + " " + item, "en", "s", 1), (None, text(4), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.jaccard_join(spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(1, rows[0][1]), (2, rows[2][1]), (0, rows[3][1]), (0, rows[4][1])])
+    clean = corpus_pipeline.decontamination(spark, docs, FOLDER)
+    assert clean.columns == docs.columns
+    assert sorted(r.text for r in clean.collect()) == sorted(r[1] for r in rows if item not in r[1])
