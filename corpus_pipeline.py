@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plurispark.llm import leaks, lines, near, packing, quality
 from plurispark.llm.common import read
-from plurispark.session import stage
+from plurispark.session import is_empty, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,17 +36,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest id, which names the group.
 
-    Documents without an id or without words link with nothing and stay; rows of one id are one document and stay together.
+    Documents without an id or without words link with nothing and stay; of several rows of one id
+    those go whose own text has a copy under a smaller id.
     """
-    groups = near.jaccard_join(docs, n=5, percent=80)
-    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == F.col("_copy"), "left_anti").select(*COLUMNS)
+    groups = near.jaccard_join(docs, n=5, percent=80, by_row=True)
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy"), F.col("text_key").alias("_key")).distinct()
+    same = (docs["doc_id"] == F.col("_copy")) & (near.text_key(docs["text"]) == F.col("_key"))
+    return docs.join(copies, same, "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    found = leaks.find_leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaky")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_leaky"), "left_anti").select(*COLUMNS)
+    """Documents that leak no benchmark item; rows without an id are searched under a key of their own."""
+    items = read(spark, sf_dir, "benchmark")
+
+    def clean(rows: DataFrame, id: str) -> DataFrame:
+        found = leaks.find_leaks(rows, items, id=id).select(F.col(id).alias("_leaky")).distinct()
+        return rows.join(found, rows[id] == F.col("_leaky"), "left_anti").select(*COLUMNS)
+
+    unnamed = docs.where("doc_id IS NULL")
+    if is_empty(unnamed):
+        return clean(docs, "doc_id")
+    keyed = stage(unnamed.withColumn("_row", F.monotonically_increasing_id()))  # written, so that a row keeps its key
+    return clean(docs.where("doc_id IS NOT NULL"), "doc_id").unionByName(clean(keyed, "_row"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
