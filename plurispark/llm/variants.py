@@ -182,7 +182,9 @@ def sent_codes(reduced: DataFrame, parts: int, symbols: int) -> DataFrame:
         if held:
             yield handed()
 
-    return reduced.select("reduced", "words").mapInArrow(run, _PACKED_DDL)
+    # The vocabulary is small beside what is generated from it: its files alone would make a few long tasks.
+    spread = reduced.repartition(shuffle_partitions(reduced.sparkSession), "reduced")
+    return spread.select("reduced", "words").mapInArrow(run, _PACKED_DDL)
 
 
 def met_codes(sent: DataFrame) -> DataFrame:
