@@ -56,7 +56,9 @@ def kneser_ney(texts):
     return p
 
 
-def test_perplexity_is_modified_kneser_ney(spark, monkeypatch):
+@pytest.mark.parametrize("vocabulary", [perplexity.VOCABULARY, 3])
+def test_perplexity_is_modified_kneser_ney(spark, monkeypatch, vocabulary):
+    monkeypatch.setattr(perplexity, "VOCABULARY", vocabulary)
     r = random.Random(1)
     docs = [(i, prose(r, r.randint(1, 60)), "en" if i % 3 else "de") for i in range(120)]
     docs += [(500, "unknown words qqq zzz", None), (501, "", "en"), (502, None, "en"), (503, docs[0][1], "en"), (None, "red sun", "de"), (504, "RED Sun", "de"), docs[0]]
