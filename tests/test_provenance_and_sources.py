@@ -182,3 +182,19 @@ def test_arms_beyond_one_plan_are_all_evaluated(spark, monkeypatch):
 def test_batch_recipes_stream_through_pandas(spark):
     double = mv.batch_recipe(lambda pdf: pdf.assign(id=pdf["id"] * 2), "id long")
     assert double(spark.range(10)).agg(F.sum("id")).first()[0] == 90
+
+
+def test_references_of_a_document_are_dealt_once(spark, capsys):
+    entities = spark.createDataFrame([("./", ["Dataset"], {}), ("a", ["File"], {"name": '"a"'}), ("b", ["Thing"], {}), (None, ["Thing"], {})], "id string, types array<string>, props map<string,string>")
+    refs = [("a", "one", "b", ""), ("a", "one", "b", ""), ("a", "some", "x", "2"), ("a", "some", "y", "1"), ("a", "some", "y", "1"), ("only", "one", "a", ""), ("./", "some", "z", "2"), ("./", "some", "y", "1"), ("./", "some", "z", "2")]
+    found = prov.document(entities, spark.createDataFrame(refs, "src string, predicate string, dst string, ord string"))
+    rows = [tuple(r) for r in found.collect()]
+    text = "".join("".join(r[3:]) for r in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])) if r[0] is not None)
+    graph = {e["@id"]: e for e in json.loads(text)["@graph"]}
+    assert graph["a"] == {"@id": "a", "@type": "File", "name": "a", "one": {"@id": "b"}, "some": [{"@id": "y"}, {"@id": "x"}]}
+    assert graph["only"] == {"@id": "only", "one": {"@id": "a"}} and graph["b"] == {"@id": "b", "@type": "Thing"}
+    assert graph["./"]["some"] == [{"@id": "y"}, {"@id": "z"}] and graph["./"]["hasPart"] == {"@id": "a"}
+    assert len(rows) == len(set(rows))
+    capsys.readouterr()
+    found.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning(") <= 10  # in the first and the final plan
