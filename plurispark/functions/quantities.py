@@ -29,6 +29,11 @@ def _div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b).try_cast(_BYTES)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with *value* computed once per row, however often *use* refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def whole_bytes(amount: Column, unit: Column) -> Column:
     """Scale a decimal text by *unit* bytes; NULL unless positive and whole.
 
@@ -37,19 +42,29 @@ def whole_bytes(amount: Column, unit: Column) -> Column:
     must be divisible by ``10**k``; a unit divisible by ``2**k`` is reduced by
     it first, so that long binary fractions stay within the type.
     """
-    whole = F.regexp_extract(amount, r"^([0-9]+)(?:\.[0-9]+)?\z", 1)
-    digits = F.rtrim(F.regexp_extract(amount, r"^[0-9]+\.([0-9]+)\z", 1), F.lit("0"))
-    k = F.length(digits)
-    unit = unit.cast(_BYTES)
-    fraction = F.when(k == 0, F.lit("0")).otherwise(digits).try_cast(_BYTES)
-    halves = _raised(2, k, 60)
-    reduced = (unit % halves) == 0
-    top = F.when(reduced, _div(unit, halves)).otherwise(unit)
-    bottom = F.when(reduced, _raised(5, k, 54)).otherwise(_raised(10, k, 37))
-    scaled = F.try_multiply(fraction, top).cast(_BYTES)
-    part = F.when(k == 0, _big(0)).otherwise(F.when((scaled % bottom) == 0, _div(scaled, bottom)))
-    total = F.try_add(F.try_multiply(F.when(whole != "", whole).try_cast(_BYTES), unit).cast(_BYTES), part).cast(_BYTES)
-    return F.when(total > 0, total)
+    def by_fraction(v: Column) -> Column:
+        def reduced_unit(h: Column) -> Column:
+            top = F.when(h["reduced"], _div(v["unit"], h["halves"])).otherwise(v["unit"])
+            scaled = F.struct(
+                F.try_multiply(v["digits"].try_cast(_BYTES), top).cast(_BYTES).alias("scaled"),
+                F.when(h["reduced"], _raised(5, v["k"], 54)).otherwise(_raised(10, v["k"], 37)).alias("bottom"),
+            )
+            return _once(scaled, lambda x: F.when((x["scaled"] % x["bottom"]) == 0, _div(x["scaled"], x["bottom"])))
+
+        halves = _once(_raised(2, v["k"], 60), lambda h: F.struct(h.alias("halves"), ((v["unit"] % h) == 0).alias("reduced")))
+        return _once(halves, reduced_unit)
+
+    def total(v: Column) -> Column:
+        exact = F.try_multiply(v["whole"].try_cast(_BYTES), v["unit"]).cast(_BYTES)
+        return F.when(v["k"] == 0, exact).otherwise(F.try_add(exact, by_fraction(v)).cast(_BYTES))
+
+    def parts(a: Column) -> Column:
+        digits = F.rtrim(F.when(F.contains(a, F.lit(".")), F.substring_index(a, ".", -1)).otherwise(F.lit("")), F.lit("0"))
+        return F.when(a.rlike(r"^[0-9]+(?:\.[0-9]+)?\z"), _once(digits, lambda d: F.struct(
+            F.substring_index(a, ".", 1).alias("whole"), d.alias("digits"), F.length(d).alias("k"), unit.cast(_BYTES).alias("unit"))))
+
+    found = _once(_once(amount, parts), lambda v: F.when(v.isNotNull(), total(v)))
+    return _once(found, lambda n: F.when(n > 0, n))
 
 
 def _lookup(factors: dict[str, int], unit: Column) -> Column:
@@ -70,16 +85,26 @@ for _power, _letter in enumerate(_LETTERS, 1):
 
 def recipe_memory_bytes(c: Column) -> Column:
     """Recipe grammar: a unit is required; ``i`` units are binary, others decimal."""
-    pattern = r"^([0-9]+(?:\.[0-9]+)?)[ \t\n\r\f\x0b]*([KMGTPE]i?B?|kB?|B)\z"
-    unit = F.lower(F.regexp_extract(c, pattern, 2))
-    return whole_bytes(F.regexp_extract(c, pattern, 1), _lookup(_RECIPE_UNITS, unit))
+    pattern = r"^[0-9]+(?:\.[0-9]+)?[ \t\n\r\f\x0b]*(?:[KMGTPE]i?B?|kB?|B)\z"
+
+    def scaled(c: Column) -> Column:
+        amount = F.rtrim(c, F.lit("KMGTPEikB"))
+        unit = F.lower(F.substring(c, F.length(amount) + 1, F.lit(3)))
+        return F.when(c.rlike(pattern), whole_bytes(F.rtrim(amount, F.lit(" \t\n\r\f\x0b")), _lookup(_RECIPE_UNITS, unit)))
+
+    return _once(c, scaled)
 
 
 def offer_memory_bytes(c: Column) -> Column:
     """Offer grammar: bare numbers are GiB and every unit is binary, in any case."""
-    pattern = r"(?i)^([0-9]+(?:\.[0-9]+)?)([KMGTPE]I?B|B)?\z"
-    unit = F.lower(F.regexp_extract(c, pattern, 2))
-    return whole_bytes(F.regexp_extract(c, pattern, 1), _lookup(_OFFER_UNITS, unit))
+    pattern = r"(?i)^[0-9]+(?:\.[0-9]+)?(?:[KMGTPE]I?B|B)?\z"
+
+    def scaled(c: Column) -> Column:
+        amount = F.rtrim(c, F.lit("KMGTPEIBkmgtpeib"))
+        unit = F.lower(F.substring(c, F.length(amount) + 1, F.lit(3)))
+        return F.when(c.rlike(pattern), whole_bytes(amount, _lookup(_OFFER_UNITS, unit)))
+
+    return _once(c, scaled)
 
 
 def duration_seconds(c: Column) -> Column:

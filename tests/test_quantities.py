@@ -151,3 +151,14 @@ def test_admission_needs_one_worker_and_one_gpu_budget(spark):
     assert got == {1: (True, None), 2: (False, None), 3: (False, None), 4: (True, 4.0), 5: (True, 4.0), 6: (False, None)}
     good, bad = compute.shared_capacity(workers)
     assert good.count() == 3 and {r["worker_id"] for r in bad.collect()} == {"d", "e"}
+
+
+def test_amounts_are_matched_once(spark, capsys):
+    texts = ["1.5", "0.5kb", "1.", ".5", "1.5.2", "5K", "5 KB", "2KiB", "1.50MB", "3B", "B", "", "1e3", "KB1", "1.000", "7.5B", "١B", "1B\n", "2GBB", None]
+    df = spark.createDataFrame([(x,) for x in texts], "c string").select("c", q.offer_memory_bytes(F.col("c")).cast("string").alias("o"), q.recipe_memory_bytes(F.col("c")).cast("string").alias("r"))
+    got = {r["c"]: (r["o"], r["r"]) for r in df.collect()}
+    some = {"1.5": (str(3 * 2**29), None), "0.5kb": ("512", None), "5K": (None, "5000"), "5 KB": (None, "5000"), "2KiB": ("2048", "2048"), "1.50MB": (str(3 * 2**19), "1500000"), "3B": ("3", "3"), "1.000": (str(2**30), None)}
+    assert got == {x: some.get(x, (None, None)) for x in texts}
+    capsys.readouterr()
+    df.explain()
+    assert "regexp_extract" not in capsys.readouterr().out.lower()
