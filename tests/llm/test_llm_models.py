@@ -225,3 +225,11 @@ def test_segments_do_not_change_the_result(spark):
     df = spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string, a int, b string")
     assert sorted(map(str, chat.repair(df, segment=5).collect())) == sorted(map(str, chat.repair(df).collect()))
     assert chat.repair(df.limit(0)).count() == 0
+
+
+def test_all_trusted_documents_train_or_set_thresholds(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(perplexity, "train", lambda texts: counted.append(texts.count()))
+    d = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"))
+    perplexity.classify(d, spark.range(2500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).count()
+    assert abs(counted[0] - 2500 * perplexity.TRAIN_SHARE) < 100
