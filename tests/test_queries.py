@@ -33,3 +33,17 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).columns == ["universe_id", "definition_version", "n", "revenue", "avg_qty"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_partitions_follow_the_tables(spark, tmp_path, monkeypatch):
+    from plurispark import session
+
+    spark.range(1000).repartition(2).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "region.parquet"))
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file())
+    monkeypatch.setattr(session, "PART_BYTES", 100)
+    session.fit_partitions(spark, str(tmp_path))
+    assert spark.conf.get(session._INITIAL) == str(-(-size // 100)) and size > 800
+    monkeypatch.undo()
+    session.fit_partitions(spark, str(tmp_path))
+    assert spark.conf.get(session._INITIAL, None) is None
