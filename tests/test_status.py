@@ -180,3 +180,15 @@ def test_counts_keep_zeros_and_reports_flag_failures(spark):
     assert tuple(status.status_counts(df).first()) == (2, 0, 0)
     report = status.run_report(spark.createDataFrame([("failed",), ("current",)], "outcome string")).first()
     assert (report["failed"], report["ok"], report["up_to_date"]) == (1, False, False)
+
+
+def test_inputs_meet_their_records_once_when_settling(spark, monkeypatch):
+    met = []
+    beside = status._beside
+    monkeypatch.setattr(status, "_beside", lambda *a: met.append(a) or beside(*a))
+    tasks = spark.createDataFrame([("u", "a", "d", "e"), ("u", "b", "d", "e")], TASKS)
+    inputs = spark.createDataFrame([("u", "b", "x", 0, "p", "a", None), ("u", "a", "f", 0, "q", None, "1")], INPUTS)
+    made = spark.createDataFrame([("u", "a", "d", "e", "va", {"f": "1"}), ("u", "b", "d", "e", "vb", {"x": "va"})], MADE)
+    tries = spark.createDataFrame([("u", "a", True, "na"), ("u", "b", True, "nb")], "universe_id string, output_id string, ok boolean, new_version string")
+    done = {r["output_id"]: (r["outcome"], r["data_version"]) for r in status.settle(tasks, inputs, made, tries).collect()}
+    assert done == {"a": ("current", "va"), "b": ("current", "vb")} and len(met) == 1
