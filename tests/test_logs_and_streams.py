@@ -114,6 +114,29 @@ def test_completion(spark):
     assert {r["task"]: r["complete"] for r in ev.completion_batch(df).collect()} == {"on time": True, "early": True, "late": False, "never": False}
 
 
+def test_completion_stream_shares_state(spark, tmp_path, monkeypatch):
+    """Batch after batch, with tasks that share a group of state, the stream says what its batch twin says."""
+    monkeypatch.setattr(ev, "COMPLETION_GROUPS", 3)
+    at = lambda s: T0 + timedelta(seconds=s)
+    batches = [
+        [(f"t{i}", at(i % 5), "returned") for i in range(20)] + [("early", at(3), "done"), (None, at(4), "returned"), ("t0", at(1), "output")],
+        [(f"t{i}", at(i % 5 + i), "done") for i in range(0, 20, 2)] + [("early", at(5), "returned"), ("t3", at(4), "returned"), (None, at(5), "done")],
+        [("far", at(10_000), "done")],
+        [("further", at(20_000), "done")],
+    ]
+    schema = "task string, ts timestamp, kind string"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ev.completion(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), deadline_s=10)
+        query = stream.writeStream.option("checkpointLocation", str(tmp_path / "kept")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+        query.awaitTermination()
+        if i == 0:
+            assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
+    got = [tuple(r) for r in spark.read.schema("task string, complete boolean").parquet(str(tmp_path / "out")).collect()]
+    want = [tuple(r) for r in ev.completion_batch(spark.createDataFrame(sum(batches, []), schema), 10).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(want) and {c for _, c in got} == {True, False}
+
+
 def test_papers(spark):
     cited = spark.createDataFrame(
         [("a", " 10.48550/arXiv.2401.01234", 1), ("b", "10.48550/ARXIV.2401.01234", 3), ("a", "10.48550/arXiv.hep-th/9901001", None),
