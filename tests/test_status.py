@@ -131,6 +131,22 @@ def test_predictions_and_runs_equal_a_topological_walk(spark, seed, refresh):
     )
 
 
+def test_predictions_meet_inputs_and_records_once(spark, monkeypatch):
+    """Below a running task: an input without a record is undeclared, one without a name moves nothing, others moved."""
+    calls, beside = [], status._beside
+    monkeypatch.setattr(status, "_beside", lambda *a: calls.append(1) or beside(*a))
+    names = ["top", "new", "unnamed", "moved", "far"]
+    t = spark.createDataFrame([("u", n, "d", "e") for n in names], TASKS)
+    m = spark.createDataFrame([("u", n, "old" if n == "top" else "d", "e", f"v-{n}", {"a": "v-top"} if n == "moved" else {"b": "v-moved"} if n == "far" else {}) for n in names], MADE)
+    i = spark.createDataFrame(
+        [("u", "new", "a", 0, "p", "top", None), ("u", "unnamed", None, 0, "p", "top", None), ("u", "moved", "a", 0, "p", "top", None),
+         ("u", "far", "b", 0, "p", "moved", None)], INPUTS)
+    files = spark.createDataFrame([], "path string, data_version string")
+    got = {r["output_id"]: (r["reason_kind"], r["reason_input"]) for r in status.would_run(t, i, m, files).collect()}
+    assert got == {"top": ("definition", None), "new": ("declaration", "a"), "unnamed": (None, None), "moved": ("input", "a"), "far": ("input", "b")}
+    assert len(calls) == 1
+
+
 EDGES = "universe_id string, output_id string, dep_output_id string"
 
 
