@@ -128,6 +128,18 @@ def test_document_describes_the_project_and_is_deterministic(project):
     assert referred - set(graph) == {prov.WORKFLOW_PROFILE, prov.CRATE}
 
 
+def test_references_take_no_digest_again(project):
+    """Ids are stored with what was made and with the runs, so no filter of a reference computes them once more for each row."""
+    plan = project()[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "_run" in plan and "sha1(" not in plan
+
+
+def test_json_texts_keep_brackets_and_quotes(spark):
+    texts = ["[a]", "]", "[", "", 'a "b"', "\\", "é\n[", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", prov.json_text(F.col("t")).alias("j")).orderBy("i").collect()
+    assert [None if r["j"] is None else json.loads(r["j"]) for r in got] == texts
+
+
 def test_single_remote(spark):
     df = spark.createDataFrame([("a", "x"), ("a", ""), ("b", "x"), ("b", "y"), ("c", "")], "k string, git_remote string")
     assert {r["k"]: r["remote"] for r in prov.single_remote(df, ["k"]).collect()} == {"a": "x", "b": "", "c": ""}
