@@ -1,12 +1,13 @@
 """Disk that staged tables hold: what stays, and what goes when it is no longer read."""
 
+import json
 import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from plurispark import session
-from plurispark.operators import graph
+from plurispark.operators import graph, provenance as prov, status
 from plurispark.session import discard, stage, stage_split
 
 
@@ -53,3 +54,35 @@ def test_an_order_keeps_only_what_later_rounds_read(spark, tmp_path, monkeypatch
     assert {(r["output_id"], r["level"]) for r in placed.collect()} == {(f"{r}-{i}", r) for r in range(rungs) for i in range(n)}
     assert stuck.count() == 0
     assert held <= 2 * n * rungs  # the nodes, and those of the last rounds once more
+
+
+def test_settling_makes_its_inputs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(x):
+        made.add(1)
+        return x
+
+    n = 20
+    tasks = spark.createDataFrame([("u", f"t{i}", "d", "e") for i in range(n)], "universe_id string, output_id string, definition_version string, env_version string")
+    inputs = spark.createDataFrame([("u", f"t{i}", f"t{i - 1}", f"t{i - 1}") for i in range(1, n)], "universe_id string, output_id string, raw string, produced_by string")
+    inputs = inputs.withColumn("input_name", name.asNondeterministic()("raw")).withColumn("current_version", F.lit(None).cast("string")).drop("raw")
+    manifests = tasks.withColumn("data_version", F.concat(F.lit("v-"), "output_id"))
+    recorded = spark.createDataFrame([("u", f"t{i}", f"t{i - 1}", f"v-t{i - 1}") for i in range(1, n)], "universe_id string, output_id string, input_name string, version string")
+    attempts = tasks.select("universe_id", "output_id", F.lit(True).alias("ok"), F.lit("new").alias("new_version"))
+    rows = status.settle(tasks, inputs, manifests, attempts, recorded=recorded).collect()
+    assert {(r["output_id"], r["outcome"]) for r in rows} == {(f"t{i}", "current") for i in range(n)}
+    assert made.value == n - 1
+
+
+def test_a_document_is_dealt_from_written_tables(spark):
+    """Nothing that made entities and references is left in the plan of the fragments, and no reference is dealt there."""
+    one = spark.range(3).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("id"))
+    entities = prov.entity(one.distinct(), F.col("id"), ["Thing"], name=prov.json_text(F.col("id")))
+    edges = prov.edge(one, F.col("id"), "next", F.lit("a0")).unionByName(prov.edge(one, F.col("id"), "next", F.lit("a1")))
+    fragments = prov.document(entities, edges)
+    assert "repartition" not in fragments._jdf.queryExecution().optimizedPlan().toString().lower()
+    text = "".join(r["before"] + r["text"] + r["after"] for r in fragments.sort("id", "key", "ord").collect())
+    graph_ = {o["@id"]: o for o in json.loads(text)["@graph"]}
+    assert [x["@id"] for x in graph_["a2"]["next"]] == ["a0", "a1"] and graph_["a1"]["name"] == "a1"
