@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from plurispark import session
+from plurispark.llm import perplexity
 from plurispark.operators import graph, provenance as prov, status
 from plurispark.session import discard, stage, stage_split
 
@@ -86,3 +87,10 @@ def test_a_document_is_dealt_from_written_tables(spark):
     text = "".join(r["before"] + r["text"] + r["after"] for r in fragments.sort("id", "key", "ord").collect())
     graph_ = {o["@id"]: o for o in json.loads(text)["@graph"]}
     assert [x["@id"] for x in graph_["a2"]["next"]] == ["a0", "a1"] and graph_["a1"]["name"] == "a1"
+
+
+def test_training_leaves_no_table_but_the_model(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    texts = spark.createDataFrame([(f"a b c d{i} e f{i % 3}",) for i in range(50)], "text string")
+    model = perplexity.train(texts)
+    assert model.values.count() == _rows(spark, tmp_path) > 0
